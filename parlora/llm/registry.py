@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, near_dup
+from . import exact_dedup, fingerprint, language_id, mixing, near_dup, piece_codec
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,14 +15,62 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify_languages(_docs(spark, sf_dir))
+
+
+OP1_SQL = r"""
+WITH normal AS (
+  SELECT doc_id, lang, string_split(regexp_replace('_' || lower(text) || '_', '[^\p{L}]+', '_', 'g'), '') AS chars
+  FROM documents),
+letters AS (
+  SELECT doc_id, lang, c, lead(c) OVER w AS c2, lead(c, 2) OVER w AS c3
+  FROM (SELECT doc_id, lang, unnest(chars) AS c, generate_subscripts(chars, 1) AS i FROM normal)
+  WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+grams AS (
+  SELECT doc_id, lang, c AS g FROM letters WHERE c <> '_'
+  UNION ALL SELECT doc_id, lang, c || c2 FROM letters WHERE c2 IS NOT NULL AND NOT (c = '_' AND c2 = '_')
+  UNION ALL SELECT doc_id, lang, c || c2 || c3 FROM letters WHERE c3 IS NOT NULL AND c2 <> '_'),
+counts AS (SELECT doc_id, lang, g, count(*) AS n FROM grams GROUP BY ALL),
+own AS (
+  SELECT doc_id, g, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, g) AS r FROM counts
+  QUALIFY r <= 300),
+profile AS (
+  SELECT lang, g, row_number() OVER (PARTITION BY lang ORDER BY n DESC, g) AS r
+  FROM (SELECT lang, g, sum(n) AS n FROM counts WHERE lang <> '' GROUP BY ALL)
+  QUALIFY r <= 300),
+langs AS (SELECT DISTINCT lang FROM profile),
+far AS (
+  SELECT o.doc_id, l.lang, sum(CASE WHEN p.r IS NULL THEN 300 ELSE abs(o.r - p.r) END) AS distance, count(*) AS n
+  FROM own o CROSS JOIN langs l LEFT JOIN profile p ON p.lang = l.lang AND p.g = o.g
+  GROUP BY ALL),
+best AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY distance, lang) AS k FROM far QUALIFY k = 1)
+SELECT d.doc_id, b.lang AS detected, CAST(coalesce(b.distance, 0) AS BIGINT) AS distance,
+       CAST(coalesce(b.n, 0) AS INTEGER) AS n_grams, coalesce(b.distance <= 0.9 * 300 * b.n, false) AS accepted
+FROM documents d LEFT JOIN best b ON b.doc_id = d.doc_id
+"""
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.ngram_jaccard_join(_docs(spark, sf_dir))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec.encode(_docs(spark, sf_dir))
+
+
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(_docs(spark, sf_dir))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_docs(spark, sf_dir))
 
 
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixing_rates(_docs(spark, sf_dir))
+
+
 OP8_SQL = """
 SELECT min(doc_id) AS doc_id, count(*) - 1 AS copies,
        coalesce(list_sort(list(doc_id) FILTER (WHERE doc_id <> first_id)), []) AS removed
@@ -33,9 +81,19 @@ SELECT doc_id, 0 AS copies, CAST([] AS BIGINT[]) AS removed FROM documents WHERE
 """
 
 
+QUERIES = (
+    op1_language_id,
+    op2_ngram_jaccard_join,
+    op3_sentencepiece,
+    op4_fingerprints,
+    op8_exact_dedup,
+    op10_source_mixing,
+)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_ngram_jaccard_join, op8_exact_dedup)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": OP8_SQL}
+    return {"op1_language_id": OP1_SQL, "op8_exact_dedup": OP8_SQL}
