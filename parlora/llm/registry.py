@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, fingerprint, language_id, mixing, near_dup, piece_codec
+from . import exact_dedup, fingerprint, language_id, licenses, mixing, near_dup, pii, piece_codec, quality, substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -63,10 +63,26 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(_docs(spark, sf_dir))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify_quality(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(_docs(spark, sf_dir))
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(_docs(spark, sf_dir))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_docs(spark, sf_dir))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_spans(_docs(spark, sf_dir))
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixing_rates(_docs(spark, sf_dir))
 
@@ -86,7 +102,11 @@ QUERIES = (
     op2_ngram_jaccard_join,
     op3_sentencepiece,
     op4_fingerprints,
+    op5_quality_classifier,
+    op6_license_scan,
+    op7_pii,
     op8_exact_dedup,
+    op9_substring_dedup,
     op10_source_mixing,
 )
 
