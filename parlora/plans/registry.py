@@ -4,14 +4,487 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .. import constants as C
+from ..functions import dates as D
+from ..functions import text as T
+from ..functions import vectors as V
+from ..operators import embeddings as B
+from ..operators import index as I
+from ..operators import quality as Q
+from ..operators import retrieval as R
+from ..operators import sessions as S
+from ..operators import windows as W
 
 Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+#: The search of the queries below.
+SEARCH = 'the dans "of the" mentle thing'
+TERMS = ("the", "dans", "of", "mentle", "thing")
+
+
+def _query(sql: str | None = None) -> Callable[[Query], Query]:
+    def note(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return note
+
+
+def _words(words) -> str:
+    return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in sorted(words)) + "]"
+
+
+def _r6(name: str) -> F.Column:
+    return F.round(name, 6).alias(name)
+
+
+# --- tables in canonical form -------------------------------------------------------------------------------------
+
+
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversation turns as messages."""
+    raw = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return raw.select(
+        F.concat(F.lit("c"), "conv_id", F.lit(":"), "turn").alias("message_id"), F.col("conv_id").cast("string").alias("conversation_id"), F.col("turn").cast("int").alias("sequence_index"), F.lit("chat").alias("provider"),
+        F.col("role").alias("author_role"), F.lit(None).cast("string").alias("created_at"), "text",
+    )
+
+
+def document_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as messages of a conversation for each source."""
+    raw = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return raw.select(F.concat(F.lit("d"), "doc_id").alias("message_id"), F.col("source").alias("conversation_id"), F.col("doc_id").cast("int").alias("sequence_index"), F.col("lang").alias("provider"), F.lit("user").alias("author_role"), F.lit(None).cast("string").alias("created_at"), "text")
+
+
+def event_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as scored candidates of a query for each type."""
+    raw = spark.read.parquet(f"{sf_dir}/events.parquet")
+    stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    return raw.select(F.col("event_type").alias("query_id"), F.concat(F.lit("e"), "event_id").alias("message_id"), F.col("user_id").cast("string").alias("conversation_id"), stamp.alias("created_at"), F.col("value").alias("score"), F.col("value").alias("base_score"))
+
+
+M_SQL = """m AS (
+  SELECT 'c' || conv_id || ':' || turn AS message_id, CAST(conv_id AS VARCHAR) AS conversation_id, CAST(turn AS INTEGER) AS sequence_index,
+         role AS author_role, text, regexp_extract_all(lower(text), '[a-z0-9]+') AS toks,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos
+  FROM conversations)"""
+D_SQL = """m AS (
+  SELECT 'd' || doc_id AS message_id, source AS conversation_id, 'user' AS author_role, text,
+         regexp_extract_all(lower(text), '[a-z0-9]+') AS toks FROM documents)"""
+E_SQL = """ev AS (
+  SELECT event_type AS query_id, 'e' || event_id AS message_id, CAST(user_id AS VARCHAR) AS conversation_id,
+         strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS created_at, ts, value AS score FROM events)"""
+
+
+def bm25_sql(base: str, terms=TERMS) -> str:
+    """CTEs that end in ``bm25(message_id, bm25)``."""
+    return f"""WITH {base},
+stats AS (SELECT count(*) AS n, avg(len(toks)) AS avgdl FROM m),
+post AS (SELECT message_id, len(toks) AS dl, unnest(toks) AS term FROM m),
+tf AS (SELECT message_id, dl, term, count(*) AS tf FROM post GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+bm25 AS (
+  SELECT message_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * {C.BM25_K1 + 1}
+         / (tf + {C.BM25_K1} * ({1 - C.BM25_B} + {C.BM25_B} * dl / avgdl))) AS bm25
+  FROM tf JOIN df USING (term) CROSS JOIN stats WHERE term IN ({', '.join(f"'{t}'" for t in terms)}) GROUP BY message_id)"""
+
+
+VOICE_SQL = f"CASE WHEN author_role = 'user' THEN {C.USER_VOICE} ELSE {C.OTHER_VOICE} END"
+
+
+# --- index and lexical ranking --------------------------------------------------------------------------------------
+
+
+@_query(f"WITH {M_SQL} SELECT count(*) AS n, round(avg(len(toks)), 6) AS avgdl, count(*) FILTER (WHERE len(toks) = 0) AS n_empty FROM m")
+def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = I.build_index(messages(spark, sf_dir)).docs
+    return docs.agg(F.count("*").alias("n"), F.round(F.avg("length"), 6).alias("avgdl"), F.count_if(F.col("length") == 0).alias("n_empty"))
+
+
+@_query(f"""WITH {M_SQL}, post AS (SELECT message_id, unnest(toks) AS term FROM m)
+SELECT term, count(DISTINCT message_id) AS df, count(*) AS cf FROM post GROUP BY term""")
+def term_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = I.build_index(messages(spark, sf_dir))
+    return index.postings.groupBy("term").agg(F.sum("tf").alias("cf")).join(index.terms, "term").select("term", "df", "cf")
+
+
+@_query(bm25_sql(M_SQL) + " SELECT message_id, round(bm25, 6) AS bm25 FROM bm25 ORDER BY round(bm25, 6) DESC, message_id LIMIT 25")
+def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = I.build_index(messages(spark, sf_dir))
+    scores = R.bm25_scores(index, R.one_query(spark, " ".join(TERMS)))
+    return scores.select("message_id", _r6("bm25")).orderBy(F.desc("bm25"), "message_id").limit(25)
+
+
+@_query(bm25_sql(M_SQL) + f" SELECT message_id, author_role, round(bm25 * {VOICE_SQL}, 6) AS score FROM bm25 JOIN m USING (message_id)")
+def bm25_voice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = messages(spark, sf_dir)
+    rows = R.lexical_candidates(I.build_index(found), found, R.one_query(spark, " ".join(TERMS)), restatements=False)
+    return rows.select("message_id", "author_role", _r6("score"))
+
+
+@_query(bm25_sql(M_SQL) + f" SELECT message_id, round(bm25 * {VOICE_SQL}, 6) AS score FROM bm25 JOIN m USING (message_id) WHERE author_role = 'assistant'")
+def bm25_filtered_role(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = messages(spark, sf_dir)
+    rows = R.lexical_candidates(I.build_index(found), found, R.one_query(spark, " ".join(TERMS)), R.Filters(author_role="assistant"), restatements=False)
+    return rows.select("message_id", _r6("score"))
+
+
+@_query(bm25_sql(M_SQL) + f""" SELECT message_id, round(coalesce(bm25, 0), 6) AS bm25, round(p, 6) AS phrase_boost, round((coalesce(bm25, 0) + p) * {VOICE_SQL}, 6) AS score
+FROM (SELECT *, CASE WHEN contains(array_to_string(toks, ' '), 'of the') THEN {C.PHRASE_BOOST} ELSE 0.0 END AS p FROM m) LEFT JOIN bm25 USING (message_id)
+WHERE coalesce(bm25, 0) > 0 OR p > 0""")
+def phrase_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = messages(spark, sf_dir)
+    rows = R.lexical_candidates(I.build_index(found), found, R.one_query(spark, SEARCH), restatements=False)
+    return rows.select("message_id", _r6("bm25"), _r6("phrase_boost"), _r6("score"))
+
+
+@_query(bm25_sql(D_SQL, ("the", "src7")) + f""" SELECT message_id, round(CASE WHEN conversation_id = 'src7' THEN {C.TITLE_BOOST} ELSE 0 END, 6) AS title_boost,
+round((bm25 + CASE WHEN conversation_id = 'src7' THEN {C.TITLE_BOOST} ELSE 0 END) * {C.USER_VOICE}, 6) AS score FROM bm25 JOIN m USING (message_id)""")
+def title_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = document_messages(spark, sf_dir)
+    titles = found.select("conversation_id", F.col("conversation_id").alias("title")).distinct()
+    rows = R.lexical_candidates(I.build_index(found), found, R.one_query(spark, "the src7"), conversations=titles, restatements=False)
+    return rows.select("message_id", _r6("title_boost"), _r6("score"))
+
+
+_META = ["Sure, let me look", "  I've updated the file", "I have updated it", "Great question! Yes", "of course not", "Of course, yes", ""]
+
+
+@_query("SELECT * FROM (VALUES (0, true), (1, true), (2, false), (3, true), (4, false), (5, true), (6, false)) t(i, meta)")
+def meta_commentary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame(list(enumerate(_META)), "i int, text string")
+    return rows.select("i", T.meta_commentary(F.col("text")).alias("meta"))
+
+
+_CT_SQL = f"""list_filter(list_distinct(string_split_regex(regexp_replace(lower(text), '[!-/:-@\\[-`{{-~]', '', 'g'), '\\s+')),
+  x -> x <> '' AND NOT list_contains({_words(C.RESTATEMENT_STOPWORDS)}, x))"""
+
+
+@_query(f"SELECT doc_id, len({_CT_SQL}) AS n_words, list_min({_CT_SQL}) AS first_word FROM documents")
+def restatement_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = T.content_tokens(F.col("text"))
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.size(words).cast("long").alias("n_words"), F.array_min(words).alias("first_word"))
+
+
+@_query(f"""WITH {M_SQL}, w AS (SELECT *, {_CT_SQL} AS words FROM m),
+pairs AS (SELECT a.message_id, len(list_intersect(a.words, b.words)) / len(a.words) AS share
+  FROM w a JOIN w b ON a.conversation_id = b.conversation_id AND b.pos BETWEEN a.pos - 5 AND a.pos + 5 AND b.pos <> a.pos
+  WHERE a.author_role = 'assistant' AND b.author_role = 'user' AND len(a.words) > 0 AND len(b.words) > 0)
+SELECT message_id, count(*) AS n_nearby, round(max(share), 6) AS best_share, max(share) >= {C.RESTATEMENT_SHARE} AS restates FROM pairs GROUP BY message_id""")
+def restatement_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = messages(spark, sf_dir)
+    rows = found.where("author_role = 'assistant'").join(R.nearby_user_texts(found), "message_id").withColumn("words", T.content_tokens(F.col("text"))).where(F.size("words") > 0)
+    shares = F.transform("nearby", lambda u: F.size(F.array_intersect("words", u)) / F.size("words"))
+    out = rows.select("message_id", F.size(F.filter("nearby", lambda u: F.size(u) > 0)).cast("long").alias("n_nearby"), F.round(F.array_max(shares), 6).alias("best_share"), R.restates(F.col("words"), F.col("nearby")).alias("restates"))
+    return out.where("n_nearby > 0")
+
+
+# --- orders, windows, repeats ---------------------------------------------------------------------------------------
+
+
+def _mode_sql(order: str, score: str = "score", extra: str = "") -> str:
+    return f"""WITH {E_SQL}{extra}
+SELECT query_id, message_id, CAST(r AS INTEGER) AS rank, round(s, 6) AS score FROM (
+  SELECT *, {score} AS s, row_number() OVER (PARTITION BY query_id ORDER BY {order}) AS r FROM ev{' JOIN span USING (query_id)' if extra else ''}) WHERE r <= 20"""
+
+
+def _top(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
+    ranked = R.apply_mode(event_candidates(spark, sf_dir), mode).where("rank <= 20")
+    return ranked.select("query_id", "message_id", "rank", _r6("score"))
+
+
+@_query(_mode_sql("score DESC, created_at, message_id"))
+def mode_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _top(spark, sf_dir, "relevance")
+
+
+@_query(_mode_sql("ts DESC NULLS LAST, score DESC, message_id"))
+def mode_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _top(spark, sf_dir, "newest")
+
+
+@_query(_mode_sql("ts ASC NULLS LAST, score DESC, message_id"))
+def mode_oldest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _top(spark, sf_dir, "oldest")
+
+
+_BOOST_SQL = f"score + {C.RECENCY_MAX} * (epoch(ts) - first) / (last - first)"
+
+
+@_query(_mode_sql(f"{_BOOST_SQL} DESC, created_at, message_id", _BOOST_SQL, ", span AS (SELECT query_id, epoch(min(ts)) AS first, epoch(max(ts)) AS last FROM ev GROUP BY query_id)"))
+def mode_relevance_recency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _top(spark, sf_dir, "relevance_recency")
+
+
+@_query("SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-13' GROUP BY event_type")
+def date_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = event_candidates(spark, sf_dir).where(R.Filters(date_from="2024-01-10", date_to="2024-01-12").condition())
+    return rows.groupBy(F.col("query_id").alias("event_type")).agg(F.count("*").alias("n"), F.round(F.sum("score"), 4).alias("total"))
+
+
+@_query(bm25_sql(M_SQL) + f""", top AS (SELECT message_id, round(bm25 * {VOICE_SQL}, 6) AS score, row_number() OVER (ORDER BY round(bm25 * {VOICE_SQL}, 6) DESC, message_id) AS r
+  FROM bm25 JOIN m USING (message_id) QUALIFY r <= 10)
+SELECT t.message_id, CAST(t.r AS INTEGER) AS rank, t.score, min(o.sequence_index) AS window_start, max(o.sequence_index) AS window_end, count(*) AS n_messages
+FROM top t JOIN m f USING (message_id) JOIN m o ON o.conversation_id = f.conversation_id AND o.pos BETWEEN f.pos - 2 AND f.pos + 2
+GROUP BY ALL""")
+def context_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = messages(spark, sf_dir)
+    rows = R.lexical_candidates(I.build_index(found), found, R.one_query(spark, " ".join(TERMS)), restatements=False)
+    ranked = R.apply_mode(rows.withColumn("score", F.round("score", 6)), "relevance").where("rank <= 10")
+    windows = W.context_windows(W.with_ranges(ranked, found), found)
+    return windows.select("message_id", "rank", "score", "window_start", "window_end", F.size("messages").cast("long").alias("n_messages"))
+
+
+@_query()
+def search_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = messages(spark, sf_dir)
+    queries = R.parse_queries(spark.createDataFrame([(0, SEARCH), (1, "the and with"), (2, "le de la"), (3, "absentword")], "query_id long, query string"))
+    ranked = R.apply_mode(R.lexical_candidates(I.build_index(found), found, queries), "relevance")
+    windows = W.context_windows(W.greedy_accept(ranked, found, 8), found)
+    return windows.select("query_id", "result_rank", "message_id", "result_id", _r6("score"))
+
+
+@_query(f"""SELECT doc_id, row_number() OVER (PARTITION BY k ORDER BY doc_id) > 1 AS repeats FROM (
+  SELECT doc_id, array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ') AS n, left(n, {C.DUP_PREFIX}) AS k FROM documents)
+WHERE length(n) >= {C.DUP_PREFIX}""")
+def near_dup_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keyed = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", W.duplicate_key(F.col("text")).alias("k")).where("k is not null")
+    return keyed.select("doc_id", (F.row_number().over(Window.partitionBy("k").orderBy("doc_id")) > 1).alias("repeats"))
+
+
+@_query("""SELECT query_id, message_id, CAST(r AS INTEGER) AS rank, excerpt FROM (
+  SELECT event_type AS query_id, 'e' || event_id AS message_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, value DESC, 'e' || event_id) AS r,
+    CASE WHEN length(t) > 160 THEN left(t, 157) || '...' ELSE t END AS excerpt FROM (SELECT *, trim(props) AS t FROM events)) WHERE r <= 5""")
+def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    props = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.concat(F.lit("e"), "event_id").alias("message_id"), F.col("props").alias("text"))
+    rows = W.timeline(event_candidates(spark, sf_dir).join(props, "message_id"), 5)
+    return rows.select("query_id", "message_id", "rank", "excerpt")
+
+
+# --- vectors --------------------------------------------------------------------------------------------------------
+
+_COS_SQL = "round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6)"
+
+
+def _vector_query(spark: SparkSession, sf_dir: str, vec_id: int) -> tuple[DataFrame, DataFrame]:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return rows, rows.where(F.col("vec_id") == vec_id).select(F.lit(0).cast("long").alias("query_id"), F.col("embedding").alias("vector"))
+
+
+@_query(f"SELECT e.vec_id, {_COS_SQL} AS similarity FROM embeddings e, embeddings q WHERE q.vec_id = 3 ORDER BY 2 DESC, 1 LIMIT 25")
+def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, query = _vector_query(spark, sf_dir, 3)
+    scored = rows.crossJoin(F.broadcast(query)).select("vec_id", F.round(V.cosine(F.col("embedding"), F.col("vector")), 6).alias("similarity"))
+    return scored.orderBy(F.desc("similarity"), "vec_id").limit(25)
+
+
+@_query(f"SELECT label, count(*) AS n, round(max(s), 6) AS best FROM (SELECT e.label, {_COS_SQL} AS s FROM embeddings e, embeddings q WHERE q.vec_id = 3) WHERE s > 0 GROUP BY label")
+def semantic_min_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, query = _vector_query(spark, sf_dir, 3)
+    scored = rows.crossJoin(F.broadcast(query)).select("label", F.round(V.cosine(F.col("embedding"), F.col("vector")), 6).alias("s")).where("s > 0")
+    return scored.groupBy("label").agg(F.count("*").alias("n"), F.round(F.max("s"), 6).alias("best"))
+
+
+@_query(bm25_sql(D_SQL) + f""", sem AS (SELECT 'd' || e.vec_id AS message_id, {_COS_SQL} AS similarity FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id, embeddings q WHERE q.vec_id = 3),
+kept AS (SELECT message_id, similarity FROM sem JOIN m USING (message_id) WHERE similarity > 0 AND len(toks) >= {C.SEMANTIC_MIN_TOKENS} ORDER BY similarity DESC, message_id LIMIT 50)
+SELECT message_id, CASE WHEN bm25 IS NULL THEN 'semantic' WHEN similarity IS NULL THEN 'bm25' ELSE 'bm25+semantic' END AS sources,
+  round(CASE WHEN bm25 IS NULL THEN similarity * {C.USER_VOICE} WHEN similarity IS NULL THEN bm25 * {C.USER_VOICE} ELSE {C.HYBRID_BONUS} + greatest(round(bm25, 6), similarity) END, 5) AS score
+FROM bm25 FULL JOIN kept USING (message_id)""")
+def hybrid_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = document_messages(spark, sf_dir)
+    rows, query = _vector_query(spark, sf_dir, 3)
+    records = rows.select(F.concat(F.lit("d"), "vec_id").alias("message_id"), "embedding").join(found, "message_id").withColumn("embedding_model", F.lit("m"))
+    records = records.withColumn("embedding", F.transform("embedding", lambda x: x.cast("double")))
+    lexical = R.lexical_candidates(I.build_index(found), found, R.one_query(spark, " ".join(TERMS)), restatements=False)
+    semantic = R.semantic_candidates(records, found, query, "m", 50, restatements=False)
+    merged = R.hybrid_merge(lexical, semantic)
+    return merged.select("message_id", F.array_join("sources", "+").alias("sources"), F.round("score", 5).alias("score"))
+
+
+_REASON_SQL = f"""CASE WHEN len(toks) = 0 THEN 'empty_text' WHEN author_role = 'tool' THEN 'tool_role'
+  WHEN list_contains({_words(C.ACKNOWLEDGMENTS)}, array_to_string(toks, ' ')) THEN 'low_information_ack'
+  WHEN len(toks) = 1 AND length(array_to_string(toks, ' ')) <= 2 THEN 'trivially_short' ELSE 'eligible' END"""
+
+
+@_query(f"WITH {M_SQL} SELECT {_REASON_SQL} AS reason, count(*) AS n FROM m GROUP BY ALL")
+def embed_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = messages(spark, sf_dir)
+    return B.reason_counts(found.withColumn("searchable", T.searchable(F.col("text"))))
+
+
+@_query(f"WITH {M_SQL} SELECT message_id, CAST(length(left(text, 200)) AS INTEGER) AS stored, length(text) > 200 AS was_cut FROM m ORDER BY conversation_id, sequence_index, message_id LIMIT 40 OFFSET 15")
+def embed_offset_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = B.cut_text(F.col("text"), 200)
+    return B.subset(messages(spark, sf_dir), 15, 40).select("message_id", F.length(stored).alias("stored"), (F.length("text") > 200).alias("was_cut"))
+
+
+# --- quality --------------------------------------------------------------------------------------------------------
+
+
+@_query("""SELECT 'all' AS dimension, '' AS value, count(*) AS n, count(*) FILTER (WHERE trim(text) = '') AS empty FROM conversations
+UNION ALL SELECT 'author_role', role, count(*), count(*) FILTER (WHERE trim(text) = '') FROM conversations GROUP BY role
+UNION ALL SELECT 'provider', 'chat', count(*), count(*) FILTER (WHERE trim(text) = '') FROM conversations""")
+def quality_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = F.array(F.struct(F.lit("text").alias("type"), F.col("text").alias("text")))
+    full = messages(spark, sf_dir).withColumn("content_blocks", blocks).withColumn("attachments", F.array().cast("array<string>")).withColumn("sender", F.lit(None).cast("string"))
+    return Q.distribution(full)
+
+
+# --- evidence -------------------------------------------------------------------------------------------------------
+
+_EXCERPT_SQL = f"(CASE WHEN length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) > {C.EVIDENCE_EXCERPT} THEN left(trim(regexp_replace(text, '\\s+', ' ', 'g')), {C.EVIDENCE_EXCERPT - 3}) || '...' ELSE trim(regexp_replace(text, '\\s+', ' ', 'g')) END)"
+
+
+@_query(f"SELECT doc_id, {_EXCERPT_SQL} AS excerpt FROM documents")
+def evidence_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", T.evidence_excerpt(F.col("text")).alias("excerpt"))
+
+
+@_query(f"""WITH x AS (SELECT conv_id, turn, regexp_extract_all(lower({_EXCERPT_SQL}), '[a-z0-9]+') AS toks FROM conversations)
+SELECT conv_id, turn, array_to_string(list_filter({list(TERMS)}, t -> list_contains(toks, t)), ' ') AS matched,
+  round(len(list_filter({list(TERMS)}, t -> list_contains(toks, t))) / {len(TERMS)}, 6) AS coverage FROM x""")
+def focus_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    focus = F.array(*map(F.lit, TERMS))
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").withColumn("toks", T.tokens(T.evidence_excerpt(F.col("text"))))
+    found = F.filter(focus, lambda t: F.array_contains("toks", t))
+    return rows.select("conv_id", "turn", F.array_join(found, " ").alias("matched"), F.round(T.coverage(found, focus), 6).alias("coverage"))
+
+
+_FIRST, _SECOND = ("the", "dans", "der"), ("and", "pour", "und")
+
+
+@_query(f"""WITH x AS (SELECT conv_id, regexp_extract_all(lower({_EXCERPT_SQL}), '[a-z0-9]+') AS toks FROM conversations)
+SELECT conv_id, bool_or(list_has_any(toks, {list(_FIRST)})) AND bool_or(list_has_any(toks, {list(_SECOND)})) AS conflict FROM x GROUP BY conv_id""")
+def cue_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").withColumn("toks", T.tokens(T.evidence_excerpt(F.col("text"))))
+    return rows.groupBy("conv_id").agg((F.bool_or(T.has_any(F.col("toks"), _FIRST)) & F.bool_or(T.has_any(F.col("toks"), _SECOND))).alias("conflict"))
+
+
+@_query()
+def batch_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources.runs import Run
+    from .api import Engine, answers_table
+
+    found = messages(spark, sf_dir)
+    titles = found.select("conversation_id").distinct().withColumn("title", F.lit(None).cast("string"))
+    engine = Engine(spark, Run("test", titles, found, found, {}))
+    queries = spark.createDataFrame([(0, "the thing"), (1, "mentle dans"), (2, "absentword")], "query_id long, query string")
+    return answers_table(engine, queries)
+
+
+# --- terms, sessions, bursts ----------------------------------------------------------------------------------------
+
+_ENT_SQL = f"""list_filter(list_distinct(regexp_extract_all(text, '[\\p{{L}}\\p{{M}}\\p{{N}}_]+')), x -> regexp_full_match(x, '[A-Z][a-z]{{2,}}') AND NOT list_contains({_words(C.NON_ENTITIES)}, x))"""
+
+
+@_query(f"SELECT doc_id, len({_ENT_SQL}) AS n_entities, list_min({_ENT_SQL}) AS first_entity FROM documents")
+def entity_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = T.entity_terms(F.col("text"))
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.size(found).cast("long").alias("n_entities"), F.array_min(found).alias("first_entity"))
+
+
+@_query(f"""SELECT entity, count(DISTINCT source) AS n_phases, count(*) AS n_docs FROM (SELECT source, unnest({_ENT_SQL}) AS entity FROM documents)
+GROUP BY entity HAVING count(DISTINCT source) >= 2""")
+def recurring_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("source", F.explode(T.entity_terms(F.col("text"))).alias("raw"))
+    named = rows.groupBy(T.canonical(F.col("raw")).alias("entity")).agg(F.countDistinct("source").alias("n_phases"), F.count("*").alias("n_docs"))
+    return named.where("n_phases >= 2")
+
+
+_TERM_SQL = f"""list_filter(list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z]{{4,}}'), x -> lower(x))), x -> NOT list_contains({_words(C.COHERENCE_STOPWORDS)}, x))"""
+
+
+@_query(f"SELECT term, count(*) AS n FROM (SELECT unnest({_TERM_SQL}) AS term FROM conversations) GROUP BY term HAVING count(*) >= 3")
+def content_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.explode(T.content_terms(F.col("text"))).alias("term"))
+    return rows.groupBy("term").agg(F.count("*").alias("n")).where("n >= 3")
+
+
+@_query(f"""WITH b AS (SELECT item_id, {_TERM_SQL} AS w FROM benchmark)
+SELECT a.item_id AS a, c.item_id AS b, round(len(list_intersect(a.w, c.w)) / len(list_distinct(list_concat(a.w, c.w))), 6) AS jaccard
+FROM b a JOIN b c ON a.item_id < c.item_id WHERE len(list_intersect(a.w, c.w)) > 0""")
+def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", T.content_terms(F.col("text")).alias("w"))
+    a, b = rows.select(F.col("item_id").alias("a"), F.col("w").alias("wa")), rows.select(F.col("item_id").alias("b"), F.col("w").alias("wb"))
+    words = a.select("a", F.explode("wa").alias("t")).join(b.select("b", F.explode("wb").alias("t")), "t").where("a < b").select("a", "b").distinct()
+    return words.join(a, "a").join(b, "b").select("a", "b", F.round(T.jaccard(F.col("wa"), F.col("wb")), 6).alias("jaccard"))
+
+
+_DAYS_SQL = "day AS (SELECT CAST(user_id AS VARCHAR) AS user_id, strftime(ts, '%Y-%m-%d') AS d, year(ts) * 365 + month(ts) * 30 + day(ts) AS k FROM events)"
+_SESS_SQL = f"""WITH {_DAYS_SQL},
+marked AS (SELECT *, CASE WHEN k - lag(k) OVER (PARTITION BY user_id ORDER BY d) > 1 THEN 1 ELSE 0 END AS o FROM day),
+s AS (SELECT *, sum(o) OVER (PARTITION BY user_id ORDER BY d) AS session FROM marked),
+sess AS (SELECT user_id, CAST(session AS BIGINT) AS session, min(d) AS first_date, max(d) AS last_date, count(*) AS n, min(k) AS k0, max(k) AS k1 FROM s GROUP BY ALL)"""
+
+
+def _dated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return event_candidates(spark, sf_dir).select(F.col("conversation_id").alias("user_id"), D.date_prefix(F.col("created_at")).alias("d"))
+
+
+@_query(_SESS_SQL + " SELECT user_id, session, first_date, last_date, n FROM sess")
+def phase_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.phase_sessions(_dated(spark, sf_dir), "user_id", "d", 1).withColumn("session", F.col("session").cast("long"))
+
+
+@_query(_SESS_SQL + """ SELECT user_id, last_date AS gap_from, gap_to, CAST(k2 - k1 AS INTEGER) AS days FROM (
+  SELECT *, lead(first_date) OVER w AS gap_to, lead(k0) OVER w AS k2 FROM sess WINDOW w AS (PARTITION BY user_id ORDER BY session)) WHERE k2 - k1 >= 3""")
+def gap_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.session_gaps(S.phase_sessions(_dated(spark, sf_dir), "user_id", "d", 1), "user_id", 3)
+
+
+@_query(f"""WITH RECURSIVE {_DAYS_SQL},
+num AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY d) AS i FROM day),
+cnt AS (SELECT a.user_id, a.i, a.d, count(*) AS n, max(b.d) AS last_date FROM num a JOIN num b ON a.user_id = b.user_id AND b.i >= a.i AND b.k - a.k <= 1 GROUP BY ALL),
+walk AS (SELECT user_id, CAST(1 AS BIGINT) AS i FROM cnt WHERE i = 1
+  UNION ALL SELECT w.user_id, w.i + CASE WHEN c.n >= 8 THEN c.n ELSE 1 END FROM walk w JOIN cnt c ON c.user_id = w.user_id AND c.i = w.i)
+SELECT user_id, d AS first_date, last_date, CAST(n AS INTEGER) AS n FROM walk JOIN cnt USING (user_id, i) WHERE n >= 8""")
+def temporal_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.temporal_bursts(_dated(spark, sf_dir), "user_id", "d", 1, 8)
+
+
+# --- normalization --------------------------------------------------------------------------------------------------
+
+_STAMPS = ["0", "1700000000.25", " 2024-03-01T10:00:00Z ", "2024-03-01T10:00:00+02:00", "2024-03-01T10:00:00.5", "", None]
+
+
+@_query("""SELECT * FROM (VALUES (0, '1970-01-01T00:00:00Z'), (1, '2023-11-14T22:13:20.250000Z'), (2, '2024-03-01T10:00:00Z'),
+(3, '2024-03-01T08:00:00Z'), (4, '2024-03-01T10:00:00.500000Z'), (5, NULL), (6, NULL)) t(i, stamp)""")
+def canonical_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame(list(enumerate(_STAMPS)), "i int, raw string")
+    return rows.select("i", D.canonical_time(F.col("raw")).alias("stamp"))
+
+
+@_query("""WITH RECURSIVE node AS (SELECT conv_id, 'n' || turn AS id, CASE WHEN turn > 0 THEN 'n' || (turn - 1) END AS parent FROM conversations),
+tip AS (SELECT conv_id, max(turn) AS last FROM conversations GROUP BY conv_id),
+walk AS (SELECT conv_id, 'n' || last AS id, 0 AS depth FROM tip
+  UNION ALL SELECT w.conv_id, n.parent, w.depth + 1 FROM walk w JOIN node n ON n.conv_id = w.conv_id AND n.id = w.id WHERE n.parent IS NOT NULL)
+SELECT conv_id, id AS node_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY depth DESC) - 1 AS INTEGER) AS sequence_index
+FROM walk""")
+def visible_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import pandas as pd
+
+    from ..sources.exports import visible_chain
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        nodes = {f"n{t}": {"parent": f"n{t - 1}" if t else None, "message": {}} for t in pdf["turn"]}
+        nodes["branch"] = {"parent": "n0", "message": {}}
+        chain = visible_chain(nodes, f"n{pdf['turn'].max()}")
+        return pd.DataFrame({"conv_id": pdf["conv_id"].iloc[0], "node_id": [n for n, _, _ in chain], "sequence_index": range(len(chain))})
+
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn")
+    return rows.groupBy("conv_id").applyInPandas(walk, "conv_id long, node_id string, sequence_index int")
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
