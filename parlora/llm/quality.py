@@ -233,7 +233,7 @@ def co_train(table: DataFrame, labels: DataFrame, rounds: int = 3, exchange: int
         return Model(None, None, np.zeros(2), float(y.mean()) if len(y) else 0.5)
     t, m = _collected(rows)
     views = [(t[~held], y[~held]), (m[~held], y[~held])]
-    pool = table.join(known.select("doc_id").distinct(), "doc_id", "left_anti").where("doc_id is not null")
+    pool = materialize(table.where("doc_id is not null").join(known.select("doc_id").distinct(), "doc_id", "left_anti"), "pool")
     taken: list[set] = [set(), set()]
 
     def trained() -> Model:
