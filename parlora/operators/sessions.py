@@ -13,7 +13,8 @@ from ..functions import dates as D
 def phase_sessions(events: DataFrame, key: str, date: str, days: int = C.PHASE_DAYS) -> DataFrame:
     """(key, session, first_date, last_date, n): runs of dates at most ``days`` apart, by time alone."""
     order = Window.partitionBy(key).orderBy(date)
-    opens = F.coalesce((D.days_between(F.lag(date).over(order), F.col(date)) > days).cast("int"), F.lit(0))
+    previous = F.lag(date).over(order)
+    opens = F.when(previous.isNotNull() & (D.days_between(previous, F.col(date)) > days), 1).otherwise(0)
     marked = events.withColumn("opens", opens).withColumn("session", F.sum("opens").over(order))
     return marked.groupBy(key, "session").agg(F.min(date).alias("first_date"), F.max(date).alias("last_date"), F.count("*").alias("n"))
 

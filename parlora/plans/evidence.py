@@ -251,7 +251,10 @@ def rejections(query: str, items: tuple[Evidence, ...], kept: Qualified) -> list
 
 def citations(items: tuple[Evidence, ...]) -> list[dict[str, object]]:
     """One citation a message, in evidence order."""
-    return [i.citation() for i in {i.message_id: i for i in reversed(items)}.values()][::-1]
+    first: dict[str, Evidence] = {}
+    for i in items:
+        first.setdefault(i.message_id, i)
+    return [i.citation() for i in first.values()]
 
 
 def as_dict(item: Evidence) -> dict[str, object]:

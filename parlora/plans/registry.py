@@ -164,7 +164,7 @@ def meta_commentary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _CT_SQL = f"""list_filter(list_distinct(string_split_regex(regexp_replace(lower(text), '[!-/:-@\\[-`{{-~]', '', 'g'), '\\s+')),
-  x -> x <> '' AND NOT list_contains({_words(C.RESTATEMENT_STOPWORDS)}, x))"""
+  lambda x: x <> '' AND NOT list_contains({_words(C.RESTATEMENT_STOPWORDS)}, x))"""
 
 
 @_query(f"SELECT doc_id, len({_CT_SQL}) AS n_words, list_min({_CT_SQL}) AS first_word FROM documents")
@@ -270,7 +270,8 @@ def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- vectors --------------------------------------------------------------------------------------------------------
 
-_COS_SQL = "round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6)"
+_RAW_SQL = "list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))"
+_COS_SQL = f"round({_RAW_SQL}, 6)"
 
 
 def _vector_query(spark: SparkSession, sf_dir: str, vec_id: int) -> tuple[DataFrame, DataFrame]:
@@ -292,10 +293,10 @@ def semantic_min_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.groupBy("label").agg(F.count("*").alias("n"), F.round(F.max("s"), 6).alias("best"))
 
 
-@_query(bm25_sql(D_SQL) + f""", sem AS (SELECT 'd' || e.vec_id AS message_id, {_COS_SQL} AS similarity FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id, embeddings q WHERE q.vec_id = 3),
+@_query(bm25_sql(D_SQL) + f""", sem AS (SELECT 'd' || e.vec_id AS message_id, {_RAW_SQL} AS similarity FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id, embeddings q WHERE q.vec_id = 3),
 kept AS (SELECT message_id, similarity FROM sem JOIN m USING (message_id) WHERE similarity > 0 AND len(toks) >= {C.SEMANTIC_MIN_TOKENS} ORDER BY similarity DESC, message_id LIMIT 50)
 SELECT message_id, CASE WHEN bm25 IS NULL THEN 'semantic' WHEN similarity IS NULL THEN 'bm25' ELSE 'bm25+semantic' END AS sources,
-  round(CASE WHEN bm25 IS NULL THEN similarity * {C.USER_VOICE} WHEN similarity IS NULL THEN bm25 * {C.USER_VOICE} ELSE {C.HYBRID_BONUS} + greatest(round(bm25, 6), similarity) END, 5) AS score
+  round(CASE WHEN bm25 IS NULL THEN similarity * {C.USER_VOICE} WHEN similarity IS NULL THEN bm25 * {C.USER_VOICE} ELSE {C.HYBRID_BONUS} + greatest(round(bm25, 6), round(similarity, 6)) END, 5) AS score
 FROM bm25 FULL JOIN kept USING (message_id)""")
 def hybrid_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = document_messages(spark, sf_dir)
@@ -348,8 +349,8 @@ def evidence_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(f"""WITH x AS (SELECT conv_id, turn, regexp_extract_all(lower({_EXCERPT_SQL}), '[a-z0-9]+') AS toks FROM conversations)
-SELECT conv_id, turn, array_to_string(list_filter({list(TERMS)}, t -> list_contains(toks, t)), ' ') AS matched,
-  round(len(list_filter({list(TERMS)}, t -> list_contains(toks, t))) / {len(TERMS)}, 6) AS coverage FROM x""")
+SELECT conv_id, turn, array_to_string(list_filter({list(TERMS)}, lambda t: list_contains(toks, t)), ' ') AS matched,
+  round(len(list_filter({list(TERMS)}, lambda t: list_contains(toks, t))) / {len(TERMS)}, 6) AS coverage FROM x""")
 def focus_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     focus = F.array(*map(F.lit, TERMS))
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").withColumn("toks", T.tokens(T.evidence_excerpt(F.col("text"))))
@@ -381,7 +382,7 @@ def batch_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- terms, sessions, bursts ----------------------------------------------------------------------------------------
 
-_ENT_SQL = f"""list_filter(list_distinct(regexp_extract_all(text, '[\\p{{L}}\\p{{M}}\\p{{N}}_]+')), x -> regexp_full_match(x, '[A-Z][a-z]{{2,}}') AND NOT list_contains({_words(C.NON_ENTITIES)}, x))"""
+_ENT_SQL = f"""list_filter(list_distinct(regexp_extract_all(text, '[\\p{{L}}\\p{{M}}\\p{{N}}_]+')), lambda x: regexp_full_match(x, '[A-Z][a-z]{{2,}}') AND NOT list_contains({_words(C.NON_ENTITIES)}, x))"""
 
 
 @_query(f"SELECT doc_id, len({_ENT_SQL}) AS n_entities, list_min({_ENT_SQL}) AS first_entity FROM documents")
@@ -398,7 +399,7 @@ def recurring_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.where("n_phases >= 2")
 
 
-_TERM_SQL = f"""list_filter(list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z]{{4,}}'), x -> lower(x))), x -> NOT list_contains({_words(C.COHERENCE_STOPWORDS)}, x))"""
+_TERM_SQL = f"""list_filter(list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z]{{4,}}'), lambda x: lower(x))), lambda x: NOT list_contains({_words(C.COHERENCE_STOPWORDS)}, x))"""
 
 
 @_query(f"SELECT term, count(*) AS n FROM (SELECT unnest({_TERM_SQL}) AS term FROM conversations) GROUP BY term HAVING count(*) >= 3")
