@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ship import ship
+from .ship import give_back, ship
 
 #: N-grams in a profile.
 SIZE = 300
@@ -94,6 +94,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for name, parts in totals.items():
         grams, n = merged(parts)
         yield pa.RecordBatch.from_arrays([pa.array([name] * len(grams)), pa.array(grams), pa.array(n)], ["lang", "gram", "n"])
+    give_back()
 
 
 def train_profiles(docs: DataFrame, size: int = SIZE) -> dict[str, list[int]]:
@@ -177,6 +178,7 @@ def _verdict(profiles: dict[str, list[int]], size: int, most: float):
         best, distance, used = (np.concatenate(x) for x in zip(*parts)) if parts else (np.empty(0, np.int64),) * 3
         names = np.array([*known.names, None], object)
         accepted = (best >= 0) & (distance <= most * size * used)
+        give_back()
         return pd.DataFrame({"detected": names[best], "distance": distance, "n_grams": used.astype(np.int32), "accepted": accepted})
 
     return verdict

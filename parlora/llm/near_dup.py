@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .scratch import materialize
 from .shingles import U64, chunks, gram_hashes, minhash, minhash_family, mix, token_hashes, unique_sets
-from .ship import ship
+from .ship import give_back, ship
 
 #: Distinct sets of one bucket that are verified together at most; a larger bucket is cut into blocks.
 BLOCK = 256
@@ -71,6 +71,7 @@ def _signatures(n: int, bands: int, rows: int):
                 keys = mix((sig * weights).sum(axis=2, dtype=U64) + weights[:, 0])
                 lists = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, bands, dtype=np.int32), keys.reshape(-1).view(np.int64))
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a).take(pa.array(filled)), pa.array(k1[filled]), pa.array(k2[filled]), lists], ["doc_id", "k1", "k2", "bands"])
+        give_back()
 
     return run
 
@@ -95,6 +96,7 @@ def _sets(n: int):
                     t = slice(s, s + 2000)
                     cols = [flat.field(f).slice(s, 2000) for f in ("gid", "lo", "hi", "blk")]
                     yield pa.RecordBatch.from_arrays([*cols, pa.array(doc_id[a + which[t]]), pa.array([data[i] for i in at[t]], pa.binary())], ["gid", "lo", "hi", "blk", "rep", "grams"])
+        give_back()
 
     return run
 
@@ -163,6 +165,7 @@ def _verify(threshold: float):
             flush(key, reps, blks, sets, out)
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.float64()))], ["a", "b", "jaccard"])
+        give_back()
 
     return run
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shingles import U64, mix
-from .ship import ship
+from .ship import give_back, ship
 
 #: Where the vocabulary files of public tokenizers lie by default.
 MODEL = os.environ.get("PARLORA_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
@@ -37,7 +37,7 @@ N_BEST = 4
 _SPACE, _LITERAL = 0x2581, 0x110001
 _UNIT = re.compile(r"\n| *[^ \n]+| +")
 _LONG_UNIT = 48
-_CHUNK = 1 << 22
+_CHUNK = 1 << 21
 _B = 0x9E3779B97F4A7C15 | 1
 _UNKNOWN = -1
 EDIT = "struct<start:int,length:int,ids:array<int>>"
@@ -185,7 +185,7 @@ class Codec:
     def _searched(self, unit: str) -> list[tuple[float, list[int]]]:
         found = self.kept.get(unit)
         if found is None:
-            if len(self.kept) > 100_000:
+            if len(self.kept) > 20_000:
                 self.kept.clear()
             found = [(s, self.pieces.spelled(unit, p)) for s, p in n_best(self.pieces.edges(unit), self.n)]
             if len(unit) <= _LONG_UNIT:
@@ -359,6 +359,7 @@ def _run(path: str, n: int):
                     schema=schema,
                 )
                 at = to
+        give_back()
 
     return run
 
