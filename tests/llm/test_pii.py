@@ -1,0 +1,46 @@
+import re
+
+from parlora.llm.pii import candidates, find_pii, luhn, seed_kind, shape
+
+from .conftest import SCHEMA, row
+
+PLANTED = {
+    "email": r"[\w.]+@[\w.]+\w", "ip": r"(?<![\d.])\d+\.\d+\.\d+\.\d+", "phone": r"\+\d \(\d{3}\) \d{3}-\d{4}", "card": r"(?<!\d)\d{16}(?!\d)", "secret": r"AKIA[0-9A-Z]{16}|password=\w+|(?<=\")[0-9a-f]{40}(?=\")",
+}
+
+
+def test_planted_identifiers_are_found(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {(r["doc_id"], r["kind"], r["identifier"]) for r in find_pii(docs).collect()}
+    want = {(r["doc_id"], k, m[0]) for r in docs.collect() for k, p in PLANTED.items() for m in re.finditer(p, r["text"])}
+    assert want and want == got
+
+
+def test_offsets_point_at_the_identifier(docs, texts):
+    for r in find_pii(docs, support=2).collect():
+        assert texts[r["doc_id"]][r["start"] : r["end"]] == r["identifier"]
+
+
+def test_unseen_identifiers_are_discovered(spark):
+    rows = [row(i, f"please write to user{i}@mail.example.org today") for i in range(30)]
+    rows += [row(100, "please write to odd_user+x7@mail.example.org today"), row(101, "a card 4000000000000001 fails the checksum")]
+    rows += [row(200 + i, f"a card {n} passes") for i, n in enumerate(x for x in range(4000000000000000, 4000000000000400) if luhn(str(x)))]
+    got = {(r["doc_id"], r["kind"]) for r in find_pii(spark.createDataFrame(rows, SCHEMA), seeds=10).collect()}
+    assert (100, "email") in got and (101, "card") in got and len(got) == len(rows)
+
+
+def test_numbers_are_left_alone(spark):
+    rows = [row(i, f"version {i}.0 has 12 parts and 3 of {1000 + i} in 2024") for i in range(50)]
+    assert find_pii(spark.createDataFrame(rows, SCHEMA)).count() == 0
+
+
+def test_candidates_and_shapes():
+    text = 'call +1 (743) 555-3824, or "a.b@c.org" 10.0.0.1### x=5'
+    assert [v for _, _, v in candidates(text)] == ["+1 (743) 555-3824", "a.b@c.org", "10.0.0.1", "x=5"]
+    assert shape("a.19@mail5.example.com") == shape("bcd.07@mail12.example.com")
+    assert seed_kind("4111111111111111") == "card" and seed_kind("4111111111111112") is None and seed_kind("2.0") == "none"
+
+
+def test_odd_rows(odd, none):
+    assert find_pii(odd).count() == 0
+    assert find_pii(none).count() == 0
