@@ -7,7 +7,7 @@ from parlora.sources.runs import Run
 from pyspark.sql import functions as F
 
 SCHEMA = "message_id string, conversation_id string, sequence_index int, provider string, author_role string, created_at string, text string"
-LONG = "gardening notes " + "about soil and light and water for every single plant in the back yard " * 2
+LONG = "gardening notes " + "about soil and light and water for every single plant in the back yard " * 3
 ROWS = [
     ("m0", "c1", 0, "chatgpt", "system", None, None),
     ("m1", "c1", 1, "chatgpt", "user", "2024-01-01T10:00:00Z", "I want to write a resume about leadership"),
