@@ -45,7 +45,7 @@ def distribution(messages: DataFrame) -> DataFrame:
 
 
 def _samples(marked: DataFrame, which: Column, limit: int) -> list[dict]:
-    first = F.filter(F.transform("content_blocks", lambda b: T.blank_to_null(b["text"])), lambda t: t.isNotNull())[0]
+    first = F.get(F.filter(F.transform("content_blocks", lambda b: T.blank_to_null(b["text"])), lambda t: t.isNotNull()), F.lit(0))
     preview = T.cut(F.coalesce(T.blank_to_null(F.col("text")), first), 120)
     rows = marked.where(which).select(F.coalesce("message_id", F.lit("")).alias("message_id"), F.col("q_provider").alias("provider"), preview.alias("snippet"))
     return [r.asDict() for r in rows.orderBy("provider", "message_id").limit(limit).collect()]
