@@ -154,12 +154,16 @@ def forward(edges: list[list[tuple[int, int, float]]]) -> tuple[list[float], lis
 
 
 def n_best(edges: list[list[tuple[int, int, float]]], n: int) -> list[tuple[float, list[tuple[int, int, int]]]]:
-    """The n best paths of a lattice, the Viterbi path first, by backward A-star with forward scores as heuristics."""
+    """The n best paths of a lattice, the Viterbi path first, by backward A-star with forward scores as heuristics.
+
+    Among equals the place nearest to the beginning is popped first, so a lattice with very many equal paths (a long
+    run of one letter) costs one walk a path.
+    """
     alpha, best = forward(edges)
     end = len(edges) - 1
-    queue, ticket, out = [(-alpha[end], 0, end, 0.0, None)], 0, []
+    queue, ticket, out = [(round(-alpha[end], 6), end, 0, 0.0, None)], 0, []
     while queue and len(out) < n:
-        f, _, j, g, tail = heapq.heappop(queue)
+        f, j, _, g, tail = heapq.heappop(queue)
         if j == 0:
             path = []
             while tail is not None:
@@ -169,7 +173,7 @@ def n_best(edges: list[list[tuple[int, int, float]]], n: int) -> list[tuple[floa
             continue
         for i, p, s in edges[j]:
             ticket += 1
-            heapq.heappush(queue, (-(g + s + alpha[i]), ticket, i, g + s, ((i, j, p), tail)))
+            heapq.heappush(queue, (round(-(g + s + alpha[i]), 6), i, ticket, g + s, ((i, j, p), tail)))
     paths = [p for _, p in out]
     at = paths.index(best) if best in paths else len(out) - 1
     del out[at]
