@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import weakref
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -27,14 +27,6 @@ def duplicate_key(text: Column) -> Column:
     return F.when(F.length(own) >= C.DUP_PREFIX, F.substring(own, 1, C.DUP_PREFIX))
 
 
-def _greedy(limit: int):
-    def accept(groups: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in groups:
-            yield accepted(pdf, limit)
-
-    return accept
-
-
 def accepted(pdf: pd.DataFrame, limit: int) -> pd.DataFrame:
     """Rows of one query that stay, walked by rank.
 
@@ -58,24 +50,28 @@ def accepted(pdf: pd.DataFrame, limit: int) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["query_id", "message_id", "result_rank"])
 
 
-def greedy_accept(ranked: DataFrame, messages: DataFrame, limit: int, radius: int = C.WINDOW_RADIUS, keep_visible: bool = False) -> DataFrame:
+def greedy_accept(ranked: DataFrame, messages: DataFrame, limit: int, radius: int = C.WINDOW_RADIUS) -> DataFrame:
     """The first ``limit`` acceptable rows of each query, with their range and ``result_rank``.
 
     The walk reads a prefix of each query's ranking; the prefix doubles for as long as some query has neither enough
     rows nor seen all of its candidates.
     """
-    ranged = with_ranges(ranked, messages, radius).withColumn("dup_key", duplicate_key(F.col("text")))
+    total = F.max("rank").over(Window.partitionBy("query_id")).alias("total")
+    ranged = with_ranges(ranked.select("*", total), messages, radius).withColumn("dup_key", duplicate_key(F.col("text")))
     columns = ["query_id", "message_id", "conversation_id", "rank", "focal_sequence", "window_start", "window_end", "dup_key"]
-    take = max(32, 8 * limit)
-    totals = ranked.groupBy("query_id").agg(F.max("rank").alias("total"))
+    take = max(64, 16 * limit)
     while True:
-        prefix = ranged.where(F.col("rank") <= take).select(*columns)
-        chosen = prefix.groupBy("query_id").applyInPandas(lambda pdf: accepted(pdf, limit), "query_id long, message_id string, result_rank int")
-        short = chosen.groupBy("query_id").agg(F.count("*").alias("got")).join(totals, "query_id").where((F.col("got") < max(1, limit)) & (F.col("total") > take))
-        if not short.take(1):
+        prefix = ranged.where(F.col("rank") <= take).persist()
+        chosen = prefix.select(*columns).groupBy("query_id").applyInPandas(lambda pdf: accepted(pdf, limit), "query_id long, message_id string, result_rank int")
+        long = prefix.where(F.col("total") > take).groupBy("query_id").agg(F.first("total").alias("t"))
+        got = chosen.groupBy("query_id").agg(F.count("*").alias("got"))
+        if not (long.take(1) and long.join(got, "query_id").where(F.col("got") < max(1, limit)).take(1)):
             break
+        prefix.unpersist()
         take *= 2
-    return ranged.join(chosen, ["query_id", "message_id"]).drop("dup_key")
+    out = prefix.join(chosen, ["query_id", "message_id"]).drop("dup_key", "total")
+    weakref.finalize(out, prefix.unpersist)  # what is read later is computed again
+    return out
 
 
 def context_windows(accepted_rows: DataFrame, messages: DataFrame, radius: int = C.WINDOW_RADIUS, run_id: str = "run", conversations: DataFrame | None = None) -> DataFrame:

@@ -13,7 +13,7 @@ def spark():
     from pyspark.sql import SparkSession
 
     found = (
-        SparkSession.builder.master("local[3]").appName("parlora-tests").config("spark.sql.shuffle.partitions", "4").config("spark.sql.session.timeZone", "UTC")
+        SparkSession.builder.master("local[8]").appName("parlora-tests").config("spark.sql.shuffle.partitions", "4").config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "4g").getOrCreate()
     )
     found.sparkContext.setLogLevel("ERROR")
