@@ -198,8 +198,8 @@ def repeated_spans(docs: DataFrame, k: int = K, least: int = LEAST) -> DataFrame
     """(doc_id, start_token, end_token, n_tokens, path, to_end, first_doc_id) of repeats of ``least`` tokens or more.
 
     One row for each maximal run of a document whose every stretch also stands in another document: tokens
-    ``start_token`` to ``end_token`` (exclusive). ``path`` and ``to_end`` place its first k-mer in the compacted graph,
-    and ``first_doc_id`` is the least document that holds that k-mer.
+    ``start_token`` to ``end_token`` (exclusive). ``path`` and ``to_end`` place its first chosen k-mer in the compacted
+    graph, and ``first_doc_id`` is the least document that shares a chosen k-mer with the run.
     """
     window = least - k + 1
     if k < 2 or window < 2:
@@ -218,8 +218,8 @@ def repeated_spans(docs: DataFrame, k: int = K, least: int = LEAST) -> DataFrame
     runs = materialize(
         placed.withColumn("run", F.sum(F.col("head").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
         .groupBy("doc_id", "run").agg(
-            F.min(F.struct("pos", "node", "first_doc_id")).alias("a"), F.max(F.struct("pos", "node")).alias("b"),
-        ).select("doc_id", F.col("a.pos").alias("from"), F.col("a.node").alias("head"), F.col("a.first_doc_id").alias("first_doc_id"), F.col("b.pos").alias("to"), F.col("b.node").alias("tail")),
+            F.min(F.struct("pos", "node")).alias("a"), F.max(F.struct("pos", "node")).alias("b"), F.min("first_doc_id").alias("first_doc_id"),
+        ).select("doc_id", F.col("a.pos").alias("from"), F.col("a.node").alias("head"), "first_doc_id", F.col("b.pos").alias("to"), F.col("b.node").alias("tail")),
         "runs",
     )
     ends = runs.select(F.col("head").alias("node"), F.lit(True).alias("l"), F.lit(False).alias("r")).union(runs.select("tail", F.lit(False), F.lit(True))).groupBy("node").agg(F.max("l").alias("left"), F.max("r").alias("right"))
