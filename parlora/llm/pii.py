@@ -8,8 +8,8 @@ labelled weight on it is of that kind and enough distinct strings support it, an
 trusted patterns. Accepted strings raise further patterns, so identifiers unlike the seeds are found; every
 occurrence of an accepted string is a find.
 
-The seeds are the ``seeds`` strings of each kind with the least hash among those that a strict rule accepts; all
-documents, candidates and patterns take part in the graph.
+The seeds are all strings that a strict rule accepts, so each of them is a find; all documents, candidates and patterns
+take part in the graph.
 
 Cases: null and empty texts hold nothing. A find names its row's ``doc_id``, null included; repeated rows give
 repeated finds. A string accepted for several kinds gets the most certain one, ties by name. Extra columns are
@@ -155,17 +155,20 @@ def score_graph(edges: DataFrame, seeds: DataFrame, rounds: int, support: int, t
     return known.where(F.col("kind") != NONE).withColumn("r", F.row_number().over(best)).where("r = 1").drop("r")
 
 
-def find_pii(docs: DataFrame, seeds: int = 200, rounds: int = 6, support: int = 5, trust: float = 0.9, accept: float = 0.8) -> DataFrame:
+def find_pii(docs: DataFrame, seeds: int | None = None, rounds: int = 6, support: int = 5, trust: float = 0.9, accept: float = 0.8) -> DataFrame:
     """(doc_id, kind, start, end, identifier, score): every occurrence of an identifier, by character offsets.
 
-    ``seeds`` strings of each kind start the bootstrap; a pattern needs ``support`` distinct labelled strings and the
+    Every string of the strict rule starts the bootstrap; a number of ``seeds`` leaves only that many of each kind, those
+    with the least hash. A pattern needs ``support`` distinct labelled strings and the
     share ``trust`` of their weight in one kind; a string is accepted from the score ``accept`` on.
     """
     ship(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text rlike '[0-9@]'")
     found = materialize(source.mapInArrow(_extract, "doc_id long, start int, end int, value string, seed string, patterns array<string>"), "candidates")
-    pick = Window.partitionBy("kind").orderBy(F.xxhash64("value"), "value")
-    chosen = found.where("seed is not null").select("value", F.col("seed").alias("kind")).distinct().withColumn("r", F.row_number().over(pick)).where(F.col("r") <= seeds).drop("r")
+    chosen = found.where("seed is not null").select("value", F.col("seed").alias("kind")).distinct()
+    if seeds is not None:
+        pick = Window.partitionBy("kind").orderBy(F.xxhash64("value"), "value")
+        chosen = chosen.withColumn("r", F.row_number().over(pick)).where(F.col("r") <= seeds).drop("r")
     edges = found.select(F.explode("patterns").alias("pattern"), "value")
     scored = score_graph(edges, chosen, rounds, support, trust, accept)
     return found.join(scored, "value").select("doc_id", "kind", "start", "end", F.col("value").alias("identifier"), "score")

@@ -1,8 +1,9 @@
+import random
 import re
 
 from parlora.llm.pii import candidates, find_pii, luhn, seed_kind, shape
 
-from .conftest import SCHEMA, row
+from .conftest import SCHEMA, row, words
 
 PLANTED = {
     "email": r"[\w.]+@[\w.]+\w", "ip": r"(?<![\d.])\d+\.\d+\.\d+\.\d+", "phone": r"\+\d \(\d{3}\) \d{3}-\d{4}", "card": r"(?<!\d)\d{16}(?!\d)", "secret": r"AKIA[0-9A-Z]{16}|password=\w+|(?<=\")[0-9a-f]{40}(?=\")",
@@ -29,6 +30,14 @@ def test_unseen_identifiers_are_discovered(spark):
     assert (100, "email") in got and (101, "card") in got and len(got) == len(rows)
 
 
+def test_every_string_of_the_strict_rule_is_found(spark):
+    rng = random.Random(7)
+    ips = {".".join(str(rng.randint(1, 254)) for _ in range(4)) for _ in range(3000)} | {f"{i}.{10 * i}.{i}.{200 + i}" for i in range(1, 10)}
+    rows = [row(i, f"{words(1, i)} {ip} {words(1, i + 5000)}") for i, ip in enumerate(sorted(ips))]
+    got = {r["identifier"] for r in find_pii(spark.createDataFrame(rows, SCHEMA)).collect() if r["kind"] == "ip"}
+    assert got == ips
+
+
 def test_numbers_are_left_alone(spark):
     rows = [row(i, f"version {i}.0 has 12 parts and 3 of {1000 + i} in 2024") for i in range(50)]
     assert find_pii(spark.createDataFrame(rows, SCHEMA)).count() == 0
