@@ -4,7 +4,8 @@ A text is lowered, its letters are kept and every other run becomes one ``_``. I
 that string, except ``_`` alone and those with ``_`` inside. The ``size`` most frequent ones (ties by code point
 order) form a profile. A language's profile comes from all documents that carry its label. The distance of a document
 to a language is the sum over the document's profile of the difference of ranks, or ``size`` for an n-gram that the
-language's profile lacks; the least distance wins, ties by name.
+language's profile lacks; the least distance wins, ties by name. A document is accepted up to a limit that the
+distances of all labelled documents set, for each language and number of n-grams.
 
 Cases: null texts and texts without letters have no n-grams, no language, and are rejected. Documents without a
 label (null or empty) train nothing but are identified. With no labelled document nothing is identified. Rows are
@@ -22,12 +23,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import materialize
 from .ship import give_back, ship
 
 #: N-grams in a profile.
 SIZE = 300
-#: A document whose distance is more than this share of the largest possible one is in none of the languages.
+#: A document whose distance is more than this share of the largest possible one is in none of the languages, whatever
+#: the labelled documents' limits.
 MOST = 0.9
+#: Words in the beginnings of labelled documents that are judged for the limits.
+CUTS = (1, 3, 8, 20, 50)
+#: Evidence that a limit needs; distances beyond the median by more than FENCE times that of the 99th percentile don't
+#: raise it; its factor for documents yet unseen.
+ENOUGH, FENCE, SLACK = 20, 2.5, 1.02
+#: (language or null, power of two of the n-grams): largest accepted share.
+Limits = dict[tuple[str | None, int], float]
 _CHUNK = 1 << 19
 _BOUND = ord("_")
 
@@ -168,36 +178,116 @@ def _packed_small(codes: np.ndarray, ids: np.ndarray, base: int) -> tuple[np.nda
     return np.concatenate((c[at[0]] * base * base, two, three)), np.concatenate(at)
 
 
-def _verdict(profiles: dict[str, list[int]], size: int, most: float):
+def _judge(known: Profiles, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    parts = [known.score(texts[a:b]) for a, b in _chunks(texts)]
+    return tuple(np.concatenate(x) for x in zip(*parts)) if parts else (np.empty(0, np.int64),) * 3
+
+
+def _cuts(known: Profiles, texts: list[str | None], labelled: np.ndarray) -> list[list[dict]]:
+    """For each labelled text, how its beginnings of so many words are judged."""
+    out: list[list[dict]] = [[] for _ in texts]
+    owner, cuts = [], []
+    for i in np.flatnonzero(labelled):
+        words = (texts[i] or "")[: 20 * CUTS[-1]].split("_", CUTS[-1] + 2)[1:-1]
+        for n in CUTS:
+            if n < len(words):
+                owner.append(i)
+                cuts.append("_".join(("", *words[:n], "")))
+    for i, k, distance, n in zip(owner, *_judge(known, cuts)):
+        if k >= 0:
+            out[i].append({"detected": known.names[k], "distance": int(distance), "n_grams": int(n)})
+    return out
+
+
+def _verdict(profiles: dict[str, list[int]], size: int):
     known = Profiles(profiles, size)
 
-    @F.pandas_udf("detected string, distance long, n_grams int, accepted boolean")
-    def verdict(texts: pd.Series) -> pd.DataFrame:
+    @F.pandas_udf("detected string, distance long, n_grams int, cuts array<struct<detected: string, distance: long, n_grams: int>>")
+    def verdict(texts: pd.Series, labelled: pd.Series) -> pd.DataFrame:
         values = [t if isinstance(t, str) else None for t in texts]
-        parts = [known.score(values[a:b]) for a, b in _chunks(values)]
-        best, distance, used = (np.concatenate(x) for x in zip(*parts)) if parts else (np.empty(0, np.int64),) * 3
+        best, distance, used = _judge(known, values)
         names = np.array([*known.names, None], object)
-        accepted = (best >= 0) & (distance <= most * size * used)
+        out = pd.DataFrame({"detected": names[best], "distance": distance, "n_grams": used.astype(np.int32), "cuts": _cuts(known, values, labelled.to_numpy(bool))})
         give_back()
-        return pd.DataFrame({"detected": names[best], "distance": distance, "n_grams": used.astype(np.int32), "accepted": accepted})
+        return out
 
     return verdict
 
 
-def identify_languages(docs: DataFrame, profiles: dict[str, list[int]] | None = None, size: int = SIZE, most: float = MOST) -> DataFrame:
+def _judged(docs: DataFrame, profiles: dict[str, list[int]], size: int, carried: Column, cut: bool) -> DataFrame:
+    """(__row, __v, __labelled) of every row."""
+    ship(docs.sparkSession)
+    labelled = F.coalesce(F.col("lang").cast("string") != "", F.lit(False)) if cut else F.lit(False)
+    return docs.select(carried.alias("__row"), _verdict(profiles, size)(normalized(F.col("text")), labelled).alias("__v"), labelled.alias("__labelled"))
+
+
+def _bucket(n_grams: Column) -> Column:
+    return F.floor(F.log2(n_grams)).cast("int")
+
+
+def _limits(judged: DataFrame, size: int, most: float) -> Limits:
+    """Limits from the labelled rows of ``_judged``; quantiles are exact, over shares rounded up to thousandths."""
+    own = judged.where("__labelled")
+    whole = own.select("__v.detected", "__v.distance", "__v.n_grams", F.lit(True).alias("whole")).where("n_grams > 0")
+    cuts = own.select(F.explode("__v.cuts").alias("c")).select("c.*", F.lit(False).alias("whole"))
+    every = whole.union(cuts).select("detected", _bucket(F.col("n_grams")).alias("bucket"), "whole", (F.ceil(1000 * F.col("distance") / (size * F.col("n_grams"))) / 1000).alias("share"))
+    shares = every.groupBy("detected", "bucket", "whole", "share").agg(F.count("*").alias("n"))
+    pooled = shares.groupBy("bucket", "whole", "share").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias("detected"), "bucket", "whole", "share", "n")
+    by = Window.partitionBy("detected", "bucket")
+    full = F.when(F.col("whole"), F.col("share"))
+    at = lambda c, p: F.percentile(c, p, F.col("n")).over(by)
+    spread = shares.union(pooled).select("*", at(full, 0.5).alias("mid"), at(full, 0.99).alias("high"), at(F.col("share"), 0.99).alias("usual"))
+    within = F.when(full <= F.col("mid") + FENCE * (F.col("high") - F.col("mid")) + 1e-9, full)
+    rows = spread.groupBy("detected", "bucket").agg(F.sum("n").alias("n"), F.max(within).alias("most"), F.max("usual").alias("usual"))
+    rows = rows.where(F.col("n") >= ENOUGH).select("detected", "bucket", (F.greatest("most", "usual") * SLACK).alias("limit")).collect()
+    return {(r["detected"], r["bucket"]): min(most, r["limit"]) for r in rows}
+
+
+def train_limits(docs: DataFrame, profiles: dict[str, list[int]], size: int = SIZE, most: float = MOST) -> Limits:
+    """The largest accepted share of a language and a number of n-grams (as a power of two), from all labelled documents.
+
+    Evidence are the distances of the documents and of their beginnings, so short texts have limits of their own. A
+    limit is the farthest document that isn't far out (``FENCE``), or the 99th percentile with beginnings, and some
+    ``SLACK``. Where a language has less than ``ENOUGH`` evidence all languages count together (language null), and
+    where these have too little, ``most`` stays.
+    """
+    return _limits(materialize(_judged(docs, profiles, size, F.lit(True), True), "judged"), size, most)
+
+
+def _accepted(v: str, limits: Limits | None, size: int, most: float) -> Column:
+    limit = F.lit(most)
+    if limits:
+        names = sorted({name for name, _ in limits if name is not None})
+        bucket, known = _bucket(F.col(f"{v}.n_grams")), F.lit(None).cast("double")
+        table = lambda of: F.create_map(*(F.lit(x) for b, m in sorted(of.items()) for x in (b, m)))
+        of = {name: {b: m for (n, b), m in limits.items() if n == name} for name in [*names, None]}
+        if names:
+            known = F.element_at(F.element_at(F.create_map(*(x for n in names for x in (F.lit(n), table(of[n])))), F.col(f"{v}.detected")), bucket)
+        limit = F.coalesce(known, F.element_at(table(of[None]), bucket) if of[None] else F.lit(None), limit)
+    far = F.col(f"{v}.distance") <= limit * size * F.col(f"{v}.n_grams")
+    return F.coalesce(F.col(f"{v}.detected").isNotNull() & far, F.lit(False))
+
+
+def _decided(docs: DataFrame, carried: Column, profiles: dict[str, list[int]] | None, size: int, most: float, limits: Limits | None) -> DataFrame:
+    if profiles is not None:
+        judged = _judged(docs, profiles, size, carried, False)
+    else:
+        judged = materialize(_judged(docs, train_profiles(docs, size), size, carried, limits is None), "judged")
+        limits = _limits(judged, size, most) if limits is None else limits
+    return judged.select("__row", "__v", _accepted("__v", limits, size, most).alias("__accepted"))
+
+
+def identify_languages(docs: DataFrame, profiles: dict[str, list[int]] | None = None, size: int = SIZE, most: float = MOST, limits: Limits | None = None) -> DataFrame:
     """(doc_id, detected, distance, n_grams, accepted) of every row of ``docs``.
 
-    ``profiles`` default to those of the labels in ``docs`` itself. ``accepted`` is false for a row without n-grams
-    or farther from its best language than the share ``most`` of the largest possible distance.
+    ``profiles`` and ``limits`` default to those of the labels in ``docs`` itself; with given profiles and no limits
+    only ``most`` holds. ``accepted`` is false for a row without n-grams or farther from its best language than that
+    share of the largest possible distance.
     """
-    profiles = train_profiles(docs, size) if profiles is None else profiles
-    ship(docs.sparkSession)
-    return docs.select("doc_id", _verdict(profiles, size, most)(normalized(F.col("text"))).alias("v")).select("doc_id", "v.*")
+    out = _decided(docs, F.col("doc_id"), profiles, size, most, limits)
+    return out.select(F.col("__row").alias("doc_id"), "__v.detected", "__v.distance", "__v.n_grams", F.col("__accepted").alias("accepted"))
 
 
-def keep_identified(docs: DataFrame, profiles: dict[str, list[int]] | None = None, size: int = SIZE, most: float = MOST) -> DataFrame:
+def keep_identified(docs: DataFrame, profiles: dict[str, list[int]] | None = None, size: int = SIZE, most: float = MOST, limits: Limits | None = None) -> DataFrame:
     """The rows of ``docs`` whose language is identified, unchanged."""
-    profiles = train_profiles(docs, size) if profiles is None else profiles
-    ship(docs.sparkSession)
-    judged = docs.select(F.struct("*").alias("__row"), _verdict(profiles, size, most)(normalized(F.col("text"))).alias("__v"))
-    return judged.where("__v.accepted").select("__row.*")
+    return _decided(docs, F.struct("*"), profiles, size, most, limits).where("__accepted").select("__row.*")
