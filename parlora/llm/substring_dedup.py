@@ -1,7 +1,9 @@
 """Substring dedup by de Bruijn compaction over sampled token k-mers.
 
 The nodes of the graph are token k-mers chosen by minimizers (the least hash of every ``window`` consecutive k-mers),
-so equal texts choose equal nodes and every span of at least k + window - 1 tokens holds one. An edge joins a chosen
+so equal texts choose equal nodes and every span of at least k + window - 1 tokens holds one. A stretch of that length
+in which a k-mer stands twice (a repeated line or token) takes no part in the graph: it is hashed whole and compared
+itself, because neither one long edge nor a chain of periods tells how much of a loop two documents share. An edge joins a chosen
 k-mer to the next one of its document and stands for all token k-mers between; its key hashes that whole stretch, so
 equal edges are equal token sequences. Edges that occur in two or more documents form the repeated graph. Its
 nonbranching paths compact by pointer doubling, a Spark join an iteration. In each document, consecutive repeated
@@ -32,6 +34,8 @@ K = 20
 LEAST = 50
 _A = 0xA0761D6478BD642F | 1
 _AINV = pow(_A, -1, 1 << 64)
+#: In the place of the next k-mer: the row is a whole stretch of ``least`` tokens.
+_WHOLE = -2
 
 
 def _prefix(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -50,15 +54,22 @@ def kmers(tokens: np.ndarray, k: int) -> np.ndarray:
     return mix((total[k:] - total[: len(total) - k]) * down[: len(total) - k])
 
 
-def chosen(keys: np.ndarray, window: int) -> np.ndarray:
-    """Positions of the minimizers; of a stretch of overlapping equal ones the first and the last."""
-    if len(keys) <= window:
-        return np.array([int(keys.argmin())]) if len(keys) else np.empty(0, np.int64)
-    least = np.lib.stride_tricks.sliding_window_view(keys, window).argmin(axis=1)
-    at = np.unique(least + np.arange(len(least)))
-    same = (keys[at[1:]] == keys[at[:-1]]) & (np.diff(at) <= window)
-    inner = np.concatenate(([False], same)) & np.concatenate((same, [False]))
-    return at[~inner]
+def looped(keys: np.ndarray, window: int) -> np.ndarray:
+    """Whether each ``window`` consecutive k-mers hold one k-mer twice, which depends on these k-mers alone."""
+    order = np.argsort(keys, kind="stable")
+    same = np.flatnonzero((keys[order[1:]] == keys[order[:-1]]) & (np.diff(order) < window))
+    again = np.full(len(keys) + 1, len(keys) + window, np.int64)
+    again[order[same]] = order[same + 1]
+    nearest = np.minimum.accumulate(again[::-1])[::-1]
+    begin = np.arange(max(len(keys) - window + 1, 0))
+    return nearest[begin] < begin + window
+
+
+def chosen(keys: np.ndarray, window: int, loops: np.ndarray) -> np.ndarray:
+    """Positions of the minimizers of the windows without loops."""
+    begin = np.flatnonzero(~loops)
+    least = np.lib.stride_tricks.sliding_window_view(keys, window)[begin].argmin(axis=1) if len(begin) else begin
+    return np.unique(least + begin)
 
 
 def _seeds(k: int, window: int, least: int):
@@ -72,11 +83,17 @@ def _seeds(k: int, window: int, least: int):
                     own = tokens[off[d] : off[d + 1]]
                     total, down = _prefix(own)
                     keys = mix((total[k:] - total[:-k]) * down[: len(total) - k])
-                    at = chosen(keys, window)
-                    to = np.append(at[1:], at[-1])
-                    edge = mix((total[to + k] - total[at]) * down[at] + (to - at).astype(U64))
-                    to[-1] = -1
-                    parts.append((keys[at], np.full(len(at), doc_id[a + d]), at, to, edge))
+                    loops = looped(keys, window)
+                    at = chosen(keys, window, loops)
+                    if len(at):
+                        to = np.append(at[1:], at[-1])
+                        edge = mix((total[to + k] - total[at]) * down[at] + (to - at).astype(U64))
+                        to[-1] = -1
+                        parts.append((keys[at], np.full(len(at), doc_id[a + d]), at, to, edge))
+                    at = np.flatnonzero(loops)
+                    if len(at):
+                        whole = mix((total[at + least] - total[at]) * down[at] + U64(least))
+                        parts.append((whole, np.full(len(at), doc_id[a + d]), at, np.full(len(at), _WHOLE), whole))
                 if parts:
                     node, doc, at, to, edge = (np.concatenate(x) for x in zip(*parts))
                     yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(doc), pa.array(at.astype(np.int32)), pa.array(to.astype(np.int32)), pa.array(edge.view(np.int64))], ["node", "doc_id", "pos", "next", "edge"])
@@ -194,12 +211,31 @@ def compact(edges: DataFrame) -> DataFrame:
     return ends.join(found, "node", "left").select("node", F.coalesce("path", "node").alias("path"), F.coalesce("to_end", F.lit(0).cast("long")).alias("to_end"))
 
 
+def _islands(wholes: DataFrame, least: int) -> DataFrame:
+    """Spans of repeated whole stretches that begin one token after the other."""
+    each = wholes.groupBy("doc_id", "pos").agg(F.min("node").alias("node"), F.min("first_doc_id").alias("first_doc_id"))
+    island = F.col("pos") - F.row_number().over(Window.partitionBy("doc_id").orderBy("pos"))
+    spans = each.withColumn("island", island).groupBy("doc_id", "island").agg(F.min_by("node", "pos").alias("head"), F.min("first_doc_id").alias("first_doc_id"), F.min("pos").alias("start_token"), (F.max("pos") + least).alias("end_token"))
+    return spans.drop("island")
+
+
+def _joined(spans: DataFrame, least: int) -> DataFrame:
+    """Spans that share ``least`` - 1 tokens or more as one: no stretch of ``least`` tokens lies in both only together."""
+    order = Window.partitionBy("doc_id").orderBy("start_token", F.desc("end_token"), "head")
+    apart = F.coalesce(F.col("start_token") + least - 1 > F.max("end_token").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+    marked = spans.withColumn("apart", apart.cast("int")).withColumn("n", F.sum("apart").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    first = F.min(F.struct("start_token", (-F.col("end_token")).alias("e"), "head"))
+    out = marked.groupBy("doc_id", "n").agg(first.alias("a"), F.min("first_doc_id").alias("first_doc_id"), F.max("end_token").alias("end_token"))
+    return out.select("doc_id", F.col("a.head").alias("head"), "first_doc_id", F.col("a.start_token").alias("start_token"), "end_token")
+
+
 def repeated_spans(docs: DataFrame, k: int = K, least: int = LEAST) -> DataFrame:
     """(doc_id, start_token, end_token, n_tokens, path, to_end, first_doc_id) of repeats of ``least`` tokens or more.
 
     One row for each maximal run of a document whose every stretch also stands in another document: tokens
     ``start_token`` to ``end_token`` (exclusive). ``path`` and ``to_end`` place its first chosen k-mer in the compacted
-    graph, and ``first_doc_id`` is the least document that shares a chosen k-mer with the run.
+    graph (a run that begins in a loop is named by its first whole stretch), and ``first_doc_id`` is the least document
+    that shares a chosen k-mer or a whole stretch with the run.
     """
     window = least - k + 1
     if k < 2 or window < 2:
@@ -211,10 +247,13 @@ def repeated_spans(docs: DataFrame, k: int = K, least: int = LEAST) -> DataFrame
     spread = seeds.select("*", F.min("doc_id").over(by_node).alias("first_doc_id"), F.max("doc_id").over(by_node).alias("last_doc_id"))
     shared = spread.where("first_doc_id < last_doc_id").drop("last_doc_id")
     linked = shared.select("*", ((F.col("next") >= 0) & (F.min("doc_id").over(by_edge) < F.max("doc_id").over(by_edge))).alias("repeated")).drop("edge")
-    order = Window.partitionBy("doc_id").orderBy("pos")
+    linked = linked.withColumn("whole", F.col("next") == _WHOLE)
+    order = Window.partitionBy("doc_id", "whole").orderBy("pos")
     joined = F.coalesce(F.lag("repeated").over(order) & (F.lag("next").over(order) == F.col("pos")), F.lit(False))
     follows = F.when(F.col("repeated") & (F.lead("pos").over(order) == F.col("next")), F.lead("node").over(order))
-    placed = materialize(linked.select("doc_id", "pos", "node", "first_doc_id", follows.alias("follower"), (~joined).alias("head")), "occurrences")
+    found = materialize(linked.select("doc_id", "pos", "node", "first_doc_id", follows.alias("follower"), (~joined).alias("head"), "whole"), "occurrences")
+    placed = found.where("not whole")
+    order = Window.partitionBy("doc_id").orderBy("pos")
     runs = materialize(
         placed.withColumn("run", F.sum(F.col("head").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
         .groupBy("doc_id", "run").agg(
@@ -230,7 +269,7 @@ def repeated_spans(docs: DataFrame, k: int = K, least: int = LEAST) -> DataFrame
     extents = materialize(extents, "extents")
     full = runs.join(extents.select("doc_id", F.col("pos").alias("from"), "before"), ["doc_id", "from"]).join(extents.select("doc_id", F.col("pos").alias("to"), "after"), ["doc_id", "to"])
     spans = full.select("doc_id", "head", "first_doc_id", (F.col("from") - F.coalesce("before", F.lit(0))).alias("start_token"), (F.col("to") + k + F.coalesce("after", F.lit(0))).alias("end_token"))
-    spans = spans.where(F.col("end_token") - F.col("start_token") >= least)
+    spans = _joined(spans.where(F.col("end_token") - F.col("start_token") >= least).union(_islands(found.where("whole"), least)), least)
     paths = compact(placed.where("follower is not null").select(F.col("node").alias("u"), F.col("follower").alias("v")))
     named = spans.join(paths, spans["head"] == paths["node"], "left")
     return named.select("doc_id", "start_token", "end_token", (F.col("end_token") - F.col("start_token")).alias("n_tokens"), F.coalesce("path", "head").alias("path"), F.coalesce("to_end", F.lit(0).cast("long")).alias("to_end"), "first_doc_id")

@@ -61,6 +61,17 @@ def test_runs_of_one_token(spark):
     assert got[2][20:].all() and not got[2][:20].any() and not got[3].any() and not got[4].any() and got[1][:50].all()
 
 
+def test_periodic_stretches_are_covered_whole(spark):
+    line, long = words(9, 5), words(31, 6)
+    texts = {1: "of " * 300, 2: words(20, 1) + " of" * 120, 3: " of" * 150 + " off" + " of" * 170}
+    texts |= {4: f"{line} " * 40 + words(30, 7), 5: words(25, 8) + f" {line}" * 15, 6: f"{line} " * 20 + "odd " + f"{line} " * 20}
+    texts |= {7: f"{long} " * 12, 8: f"{words(40, 9)} " + f"{long} " * 5, 9: "ab cd " * 200, 10: "ab cd " * 30 + words(60, 10), 11: "zz " * 400}
+    got = marked(texts, repeated_spans(spark.createDataFrame([row(d, t) for d, t in texts.items()], SCHEMA)).collect())
+    want = covered(texts)
+    assert want[1].all() and want[4].sum() == 360 and not want[11].any()
+    assert {d: got[d].nonzero()[0].tolist() for d in texts} == {d: want[d].nonzero()[0].tolist() for d in texts}
+
+
 def test_paths_and_cycles(spark):
     edges = [(1, 2), (2, 3), (3, 4), (10, 3), (4, 5), (20, 21), (21, 22), (22, 20), (30, 30)]
     got = {r["node"]: (r["path"], r["to_end"]) for r in compact(spark.createDataFrame(edges, "u long, v long")).collect()}
