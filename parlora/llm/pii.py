@@ -2,7 +2,9 @@
 
 Candidates are the spans of a text that hold a digit or ``@``. Each induces lexical patterns: its shape (runs of
 letters and digits), its literal prefix with the shape of the rest, and its shape beside the one or two words before
-it or the word after it. Patterns and candidate strings form a graph. Seed entities of each kind, and seeds that are no
+it or the word after it. The same words with only a coarse class of the string are patterns too, so a string of a shape
+that no seed has is found by its context; such a pattern also needs the share ``trust`` of all its strings, labelled
+or not. Patterns and candidate strings form a graph. Seed entities of each kind, and seeds that are no
 identifiers, label some strings; then iterations alternate in Spark: a pattern is trusted for a kind when nearly all
 labelled weight on it is of that kind and enough distinct strings support it, and a string takes the noisy-or of its
 trusted patterns. Accepted strings raise further patterns, so identifiers unlike the seeds are found; every
@@ -30,6 +32,8 @@ from .ship import ship
 
 KINDS = ("card", "email", "ip", "phone", "secret")
 NONE = "none"
+#: Begins a pattern of the words around a span that doesn't hold its shape.
+CONTEXT = "C"
 _MARK = re.compile(r"[0-9@]")
 _PHONE = re.compile(r"[+(][0-9(][0-9()+. -]*[0-9]")
 _QUOTED = re.compile(r"""["'“‘(\[<{]+""")
@@ -79,6 +83,16 @@ def shape(value: str) -> str:
     return _RUN.sub(lambda m: ("9" if m[0][0].isdigit() else "A" if m[0].isupper() else "a") + (_length(len(m[0])) if m[0][0].isdigit() else ""), value)
 
 
+def _coarse(value: str) -> str:
+    """The class of a string: with ``@``, with letters, or digits, and whether it is as long as an identifier."""
+    if "@" in value:
+        return "@"
+    digits = sum(c.isdigit() for c in value)
+    if any(c.isalpha() for c in value):
+        return "mixed" if len(value) < 8 else "MIXED"
+    return "digits" if digits < 7 else "DIGITS"
+
+
 def patterns(text: str, a: int, b: int, value: str) -> list[str]:
     """The lexical patterns of a span."""
     own = shape(value)
@@ -94,6 +108,13 @@ def patterns(text: str, a: int, b: int, value: str) -> list[str]:
         out.append(f"M {before[0].lower()} {before[1].lower()} {own}")
     if after:
         out.append(f"R {after[0].lower()} {own}")
+    coarse = _coarse(value)
+    if before:
+        out.append(f"{CONTEXT}L {before[-1].lower()} {coarse}")
+    if len(before) == 2:
+        out.append(f"{CONTEXT}M {before[0].lower()} {before[1].lower()} {coarse}")
+    if after:
+        out.append(f"{CONTEXT}R {after[0].lower()} {coarse}")
     return out
 
 
@@ -140,9 +161,11 @@ def score_graph(edges: DataFrame, seeds: DataFrame, rounds: int, support: int, t
     seeds = materialize(seeds.distinct(), "seeds")
     known, before = seeds.withColumn("score", F.lit(1.0)), -1
     for _ in range(rounds):
-        weight = edges.join(known, "value").groupBy("pattern", "kind").agg(F.sum("score").alias("w"), F.count("*").alias("n"))
-        share = F.col("w") / F.sum("w").over(Window.partitionBy("pattern"))
-        trusted = weight.withColumn("trust", share).where((F.col("trust") >= trust) & (F.col("n") >= support) & (F.col("kind") != NONE))
+        weight = edges.join(known, "value", "left").groupBy("pattern", "kind").agg(F.sum("score").alias("w"), F.count("*").alias("n"))
+        by = Window.partitionBy("pattern")
+        share, of_all = F.col("w") / F.sum("w").over(by), F.col("n") / F.sum("n").over(by)
+        certain = ~F.col("pattern").startswith(CONTEXT) | (F.col("of_all") >= trust)
+        trusted = weight.withColumn("trust", share).withColumn("of_all", of_all).where(certain & (F.col("trust") >= trust) & (F.col("n") >= support) & (F.col("kind") != NONE))
         confidence = F.col("trust") * F.col("n") / (F.col("n") + 0.5)
         reached = edges.join(trusted.select("pattern", "kind", confidence.alias("c")), "pattern").groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.least("c", F.lit(0.999)))))).alias("score"))
         fresh = reached.where(F.col("score") >= accept).join(seeds.select("value"), "value", "left_anti")

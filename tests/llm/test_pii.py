@@ -38,6 +38,20 @@ def test_every_string_of_the_strict_rule_is_found(spark):
     assert got == ips
 
 
+def test_other_shapes_are_found_by_context(spark):
+    passing = [n for n in range(4000000000000000, 4000000000000400) if luhn(str(n))]
+    rows = [row(i, f"please call {words(1, i)} at +1 (743) 555-{3000 + i} for details {words(3, i)}") for i in range(30)]
+    rows += [row(100 + i, f"{words(3, i)} paid by card {n} yesterday") for i, n in enumerate(passing[:30])]
+    rows += [row(200 + i, f"{words(2, i)} room {1000 + i} at 10 for {2000 + i} people") for i in range(30)]
+    rows += [row(300 + i, f"{words(2, i)} order {10**7 + i}-{i} shipped") for i in range(30)]
+    odd = {900: ("phone", "(743) 555-3824"), 901: ("phone", "743-555-3825"), 902: ("card", "4111-1111-1111-1111")}
+    assert not any(seed_kind(v) for _, v in odd.values())
+    rows += [row(900, "please call ann at (743) 555-3824 for details"), row(901, "please call bob at 743-555-3825 for details"), row(902, "she paid by card 4111-1111-1111-1111 yesterday")]
+    got = {r["doc_id"]: (r["kind"], r["identifier"]) for r in find_pii(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert {d: got.get(d) for d in odd} == odd
+    assert set(got) == {*range(30), *range(100, 130), *odd}
+
+
 def test_numbers_are_left_alone(spark):
     rows = [row(i, f"version {i}.0 has 12 parts and 3 of {1000 + i} in 2024") for i in range(50)]
     assert find_pii(spark.createDataFrame(rows, SCHEMA)).count() == 0
