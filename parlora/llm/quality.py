@@ -1,7 +1,7 @@
 """Quality classifier by co-training.
 
-Two views judge a document: its text content (character classes, token lengths, variety and repetition, hashed
-tokens' scripts) and its page metadata (source, language, size and line layout). Each view is a logistic regression.
+Two views judge a document: its text content (character classes, token lengths, variety and repetition; no
+words) and its page metadata (source, language, size and line layout). Each view is a logistic regression.
 They start from labelled documents; in each round each view scores all unlabelled documents, and its most confident
 ones of either class become training rows of the other view. Each view is then calibrated (Platt) on labelled
 documents held out from training, and a logistic regression on the two calibrated log odds scores every document.
