@@ -1,14 +1,16 @@
 """N-gram Jaccard join by MinHash banding.
 
 Every document is compared with every other through bands of MinHash values; pairs that share a band are verified
-on their full sets of word 3-gram hashes (64 bits). Documents with the same set are collapsed first, so a group of
-k copies costs one comparison and one row, not k*k. Buckets of any size are handled: a large one is cut into blocks
-whose pairs are verified apart, and no partner is dropped.
+on their full sets of word 3-gram hashes (64 bits). Documents with the same set are collapsed before that, so k copies
+cost one comparison, not k*k. The sets of a bucket belong to its leader, the least of them; buckets with one leader are
+verified together, once, because near copies meet in most of their bands. A large group is cut into blocks whose pairs
+are verified apart, and no partner is dropped.
 
 Cases: a document whose text is null, empty or without tokens has no set and is in no pair. Rows with a null
 ``doc_id`` can't be named in a result and are in no pair; the filter keeps them. Rows that share a ``doc_id`` are one
-document and stay or go together. Repeated rows aren't pairs. Ties at exactly the threshold count as pairs. Extra
-columns are carried by the filter whatever their names. Empty tables give empty results.
+document, which stays or goes whole; one with several texts pairs by each of them, so a pair of it may come with
+several values. Repeated rows aren't pairs. Ties at exactly the threshold count as pairs. Extra columns are carried by
+the filter whatever their names. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -18,14 +20,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import materialize
+from .scratch import discard, materialize, only
 from .shingles import U64, chunks, gram_hashes, minhash, minhash_family, mix, token_hashes, unique_sets
 from .ship import give_back, ship
 
-#: Distinct sets of one bucket that are verified together at most; a larger bucket is cut into blocks.
+#: Distinct sets of one leader that are verified together at most; a larger group is cut into blocks.
 BLOCK = 256
 
 
@@ -94,8 +96,8 @@ def _sets(n: int):
                 at = np.repeat(np.arange(len(own)), counts)
                 for s in range(0, len(which), 2000):
                     t = slice(s, s + 2000)
-                    cols = [flat.field(f).slice(s, 2000) for f in ("gid", "lo", "hi", "blk")]
-                    yield pa.RecordBatch.from_arrays([*cols, pa.array(doc_id[a + which[t]]), pa.array([data[i] for i in at[t]], pa.binary())], ["gid", "lo", "hi", "blk", "rep", "grams"])
+                    cols = [flat.field(f).slice(s, 2000) for f in ("leader", "lo", "hi", "blk")]
+                    yield pa.RecordBatch.from_arrays([*cols, pa.array(doc_id[a + which[t]]), pa.array(k1[which[t]]), pa.array([data[i] for i in at[t]], pa.binary())], ["leader", "lo", "hi", "blk", "rep", "k1", "grams"])
         give_back()
 
     return run
@@ -131,92 +133,89 @@ def jaccard_block(sets: list[np.ndarray], side: np.ndarray | None, threshold: fl
 
 
 def _verify(threshold: float):
-    def flush(key, reps, blks, sets, out):
-        first = {}
-        for i, r in enumerate(reps):
-            first.setdefault((r, blks[i]), i)
-        at = list(first.values())
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
+
+    def flush(key, sets: dict, out: list) -> None:
+        """Pairs of one block, or of two."""
+        at = list(sets)
         if len(at) > 1:
-            side = None if key[1] == key[2] else np.array([blks[i] for i in at])
-            arrays = [np.frombuffer(sets[i], U64) for i in at]
+            side = None if key[1] == key[2] else np.array([blk for _, _, blk in at])
+            arrays = [np.frombuffer(sets[x], U64) for x in at]
             for x, y, j in jaccard_block(arrays, side, threshold):
-                a, b = sorted((reps[at[x]], reps[at[y]]))
-                if a != b:
-                    out.append((a, b, j))
+                a, b = sorted((at[x][:2], at[y][:2]))
+                out.append((*a, *b, j))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, reps, blks, sets, out = None, [], [], [], []
+        key, sets, out = None, {}, []
+
+        def sent() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["a", "ka", "b", "kb", "jaccard"])
+            out.clear()
+            return batch
+
         for batch in batches:
-            gid, lo, hi = (batch.column(c).to_numpy() for c in ("gid", "lo", "hi"))
-            rep, blk, grams = batch.column("rep").to_pylist(), batch.column("blk").to_pylist(), batch.column("grams").to_pylist()
-            for i in range(len(gid)):
-                k = (gid[i], lo[i], hi[i])
+            for *k, blk, rep, k1, grams in zip(*(batch.column(c).to_pylist() for c in ("leader", "lo", "hi", "blk", "rep", "k1", "grams"))):
                 if k != key:
                     if key is not None:
-                        flush(key, reps, blks, sets, out)
-                    key, reps, blks, sets = k, [], [], []
-                reps.append(rep[i])
-                blks.append(blk[i])
-                sets.append(grams[i])
+                        flush(key, sets, out)
+                    key, sets = k, {}
+                sets[rep, k1, blk] = grams
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.float64()))], ["a", "b", "jaccard"])
-                out = []
+                yield sent()
         if key is not None:
-            flush(key, reps, blks, sets, out)
+            flush(key, sets, out)
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.float64()))], ["a", "b", "jaccard"])
+            yield sent()
         give_back()
 
     return run
 
 
 def _pairs_of_sets(docs: DataFrame, n: int, threshold: float, recall: float) -> tuple[DataFrame, DataFrame]:
-    """(groups, pairs): distinct sets with their documents; verified pairs of their representatives."""
+    """(members, pairs): the documents (``rep``, ``k1``, ``doc_id``) of the sets that several documents have; verified pairs of sets.
+
+    A set is named by its least document ``rep`` and its key ``k1``.
+    """
     ship(docs.sparkSession)
     bands, rows = choose_bands(threshold, recall)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    signed = source.mapInArrow(_signatures(n, bands, rows), "doc_id long, k1 long, k2 long, bands array<long>")
-    groups = materialize(signed.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.sort_array(F.collect_set("doc_id")).alias("ids"), F.first("bands").alias("bands")), "sets")
-    buckets = (
-        groups.select("rep", F.explode("bands").alias("band"))
-        .groupBy("band").agg(F.sort_array(F.collect_set("rep")).alias("members"))
-        .where(F.size("members") > 1)
-        .groupBy("members").agg(F.min("band").alias("gid"))
-    )
-    members = buckets.select("gid", ((F.size("members") - 1) / BLOCK).cast("int").alias("last"), F.posexplode("members").alias("i", "rep"))
-    own = F.expr(f"i div {BLOCK}").cast("int")
-    other: Column = F.explode(F.sequence(F.lit(0), F.col("last")))
-    tasks = (
-        members.select("rep", "gid", own.alias("blk"), other.alias("to"))
-        .select("rep", F.struct("gid", F.least("blk", "to").alias("lo"), F.greatest("blk", "to").alias("hi"), "blk").alias("task"))
-        .groupBy("rep").agg(F.collect_list("task").alias("tasks"))
-    )
-    wanted = tasks.join(groups.select("rep", "k1", "k2"), "rep")
+    signed = materialize(source.mapInArrow(_signatures(n, bands, rows), "doc_id long, k1 long, k2 long, bands array<long>"), "signed")
+    groups = materialize(signed.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), F.first("bands").alias("bands")), "sets")
+    of_band, of_leader = Window.partitionBy("band"), Window.partitionBy("leader")
+    met = groups.select("rep", "k1", "k2", F.explode("bands").alias("band")).select("rep", "k1", "k2", F.min("rep").over(of_band).alias("leader"), F.count("*").over(of_band).alias("n"))
+    links = materialize(met.where("n > 1").select("leader", "rep", "k1", "k2").distinct(), "links")
+    placed = links.select("*", (F.row_number().over(of_leader.orderBy("rep", "k1")) - 1).alias("i"), (F.count("*").over(of_leader) - 1).alias("last"))
+    own = F.expr(f"cast(i div {BLOCK} as int)")
+    other: Column = F.explode(F.sequence(F.lit(0), F.expr(f"cast(last div {BLOCK} as int)")))
+    wanted = (
+        placed.where("last > 0").select("rep", "k1", "k2", "leader", own.alias("blk"), other.alias("to"))
+        .select("rep", "k1", "k2", F.struct("leader", F.least("blk", "to").alias("lo"), F.greatest("blk", "to").alias("hi"), "blk").alias("task"))
+        .groupBy("rep", "k1", "k2").agg(F.collect_list("task").alias("tasks"))
+    )
+    texts = only(source, links.select(F.col("rep").alias("doc_id")))
     sets = (
-        source.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id")
+        texts.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id")
         .select("doc_id", "text", "k1", "k2", "tasks")
-        .mapInArrow(_sets(n), "gid long, lo int, hi int, blk int, rep long, grams binary")
+        .mapInArrow(_sets(n), "leader long, lo int, hi int, blk int, rep long, k1 long, grams binary")
     )
-    found = sets.repartition("gid", "lo", "hi").sortWithinPartitions("gid", "lo", "hi").mapInArrow(_verify(threshold), "a long, b long, jaccard double")
-    return groups, found.groupBy("a", "b").agg(F.max("jaccard").alias("jaccard"))
+    found = sets.repartition("leader", "lo", "hi").sortWithinPartitions("leader", "lo", "hi").mapInArrow(_verify(threshold), "a long, ka long, b long, kb long, jaccard double")
+    pairs = found.groupBy("a", "ka", "b", "kb").agg(F.max("jaccard").alias("jaccard"))
+    several = groups.where("rep < last").select("rep", "k1", "k2")
+    return signed.select("doc_id", "k1", "k2").join(several, ["k1", "k2"]).select("rep", "k1", "doc_id").distinct(), pairs
 
 
 def ngram_jaccard_join(docs: DataFrame, n: int = 3, threshold: float = 0.5, recall: float = 0.95) -> DataFrame:
-    """All pairs of documents whose word n-gram sets have a Jaccard similarity of at least ``threshold``.
+    """(doc_id_a, doc_id_b, jaccard): all pairs of documents whose word n-gram sets are at least ``threshold`` similar.
 
-    One row for each pair of distinct sets: every document of ``docs_a`` pairs with every one of ``docs_b`` at
-    ``jaccard``. Documents with one and the same set are a row with ``docs_a`` = ``docs_b`` and ``jaccard`` 1.
-    ``recall`` is the probability that a pair exactly at the threshold shares a band; it rises quickly above it.
+    One row a pair, the lesser ``doc_id`` first. ``recall`` is the probability that a pair exactly at the threshold
+    shares a band; it rises quickly above it.
     """
-    groups, pairs = _pairs_of_sets(docs, n, threshold, recall)
-    ids = groups.select("rep", "ids")
-    unlike = (
-        pairs.join(ids.select(F.col("rep").alias("a"), F.col("ids").alias("docs_a")), "a")
-        .join(ids.select(F.col("rep").alias("b"), F.col("ids").alias("docs_b")), "b")
-        .select("docs_a", "docs_b", "jaccard")
-    )
-    same = groups.where(F.size("ids") > 1).select(F.col("ids").alias("docs_a"), F.col("ids").alias("docs_b"), F.lit(1.0).alias("jaccard"))
-    return unlike.unionByName(same)
+    members, pairs = _pairs_of_sets(docs, n, threshold, recall)
+    members = materialize(members, "members")
+    side = lambda x: members.select(F.col("rep").alias(x), F.col("k1").alias(f"k{x}"), F.col("doc_id").alias(f"doc_{x}"))
+    unlike = pairs.join(side("a"), ["a", "ka"], "left").join(side("b"), ["b", "kb"], "left").select(F.coalesce("doc_a", "a").alias("x"), F.coalesce("doc_b", "b").alias("y"), "jaccard")
+    same = side("a").join(side("b").withColumnsRenamed({"b": "a", "kb": "ka"}), ["a", "ka"]).where("doc_a < doc_b").select("doc_a", "doc_b", F.lit(1.0))
+    return unlike.where("x <> y").union(same).select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b"), "jaccard")
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -234,7 +233,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
-        now = materialize(small, "edges")
+        before, now = now, materialize(small, "edges")
+        discard(before)
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == mark:
             return now.select(F.col("u").alias("node"), F.col("v").alias("label")).union(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
@@ -246,8 +246,7 @@ def drop_near_duplicates(docs: DataFrame, n: int = 3, threshold: float = 0.5, re
 
     All columns and the remaining rows are returned as they are; documents without a pair always stay.
     """
-    groups, pairs = _pairs_of_sets(docs, n, threshold, recall)
-    copies = groups.where(F.size("ids") > 1).select(F.explode("ids").alias("u"), F.col("rep").alias("v"))
-    labels = connected_components(copies.union(pairs.select("a", "b")))
+    members, pairs = _pairs_of_sets(docs, n, threshold, recall)
+    labels = connected_components(members.select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).union(pairs.select("a", "b")))
     gone = labels.where("node <> label").select(F.col("node").alias("__gone"))
     return docs.join(gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti")

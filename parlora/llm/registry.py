@@ -97,6 +97,24 @@ SELECT doc_id, 0 AS copies, CAST([] AS BIGINT[]) AS removed FROM documents WHERE
 """
 
 
+OP2_SQL = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9\x{80}-\x{10ffff}]+') AS w
+  FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+grams AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' ')) END) AS g
+  FROM words WHERE len(w) > 0),
+sets AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k
+  FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL)
+SELECT a AS doc_id_a, b AS doc_id_b, k / (x.n + y.n - k) AS jaccard
+FROM shared JOIN sets x ON x.doc_id = a JOIN sets y ON y.doc_id = b
+WHERE k / (x.n + y.n - k) >= 0.5
+"""
+
+
 QUERIES = (
     op1_language_id,
     op2_ngram_jaccard_join,
@@ -116,4 +134,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_language_id": OP1_SQL, "op8_exact_dedup": OP8_SQL}
+    return {"op1_language_id": OP1_SQL, "op2_ngram_jaccard_join": OP2_SQL, "op8_exact_dedup": OP8_SQL}

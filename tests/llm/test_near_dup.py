@@ -1,6 +1,7 @@
 import re
 from collections import defaultdict
 
+from parlora.llm import near_dup
 from parlora.llm.near_dup import BLOCK, choose_bands, connected_components, drop_near_duplicates, jaccard_block, ngram_jaccard_join
 
 from .conftest import SCHEMA, row, words
@@ -27,12 +28,10 @@ def brute(texts, threshold):
 
 
 def pairs(df):
-    out = {}
-    for r in df.collect():
-        for a in r["docs_a"]:
-            for b in r["docs_b"]:
-                if a != b:
-                    out[min(a, b), max(a, b)] = r["jaccard"]
+    rows = df.collect()
+    assert df.columns == ["doc_id_a", "doc_id_b", "jaccard"] and all(r[0] < r[1] for r in rows)
+    out = {(r[0], r[1]): r[2] for r in rows}
+    assert len(out) == len(rows)
     return out
 
 
@@ -61,9 +60,10 @@ def test_one_of_each_group_stays(docs, texts):
     assert kept == {d for d in texts if top(d) == d}
 
 
-def test_large_buckets_are_cut_into_blocks(spark):
+def test_large_groups_are_cut_into_blocks(spark):
     base = words(60, 7).split()
     rows = [row(i, " ".join([*base[:50], f"tail{i}", *base[50:]])) for i in range(BLOCK + 60)]
+    rows += [row(1000 + i, rows[i][1]) for i in range(0, BLOCK + 60, 40)]
     got = pairs(ngram_jaccard_join(spark.createDataFrame(rows, SCHEMA)))
     n = len(rows)
     assert len(got) == n * (n - 1) // 2
@@ -79,6 +79,19 @@ def test_odd_rows(odd, none):
     assert ngram_jaccard_join(none).count() == 0 and drop_near_duplicates(none).count() == 0
 
 
+def test_a_document_of_two_texts_pairs_by_each(spark):
+    one, two, three = words(60, 1), words(60, 2), words(60, 3)
+    rows = [row(3, one), row(3, two), row(5, one), row(6, two), row(7, two + " end"), row(1, three), row(1, three), row(2, three)]
+    got = {(r[0], r[1]) for r in ngram_jaccard_join(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {(3, 5), (3, 6), (3, 7), (6, 7), (1, 2)}
+
+
+def test_the_filter_by_ids_drops_no_partner(docs, monkeypatch):
+    want = pairs(ngram_jaccard_join(docs))
+    monkeypatch.setattr(near_dup, "only", lambda source, ids: source)
+    assert want and pairs(ngram_jaccard_join(docs)) == want
+
+
 def test_bands_reach_the_recall():
     for t, recall in ((0.5, 0.95), (0.8, 0.99)):
         bands, rows = choose_bands(t, recall)
