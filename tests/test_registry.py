@@ -48,7 +48,8 @@ def test_entry(spark):
     assert e.entry(spark).count() > 0 and set(e.oracle_sql()) <= set(e.queries())
 
 
-def test_the_rest_works_without_llm(tmp_path):
+@pytest.mark.parametrize("left", ["nothing", "the pipeline", "empty folder"])
+def test_the_rest_works_without_llm(tmp_path, left):
     import shutil
     import subprocess
     import sys
@@ -56,5 +57,18 @@ def test_the_rest_works_without_llm(tmp_path):
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     shutil.copytree(f"{root}/parlora", tmp_path / "parlora", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
-    code = "import __spark_entry__ as e; assert 'bm25_topk' in e.queries() and not [n for n in e.queries() if n.startswith('op')]"
+    if left == "the pipeline" and os.path.exists(f"{root}/corpus_pipeline.py"):
+        shutil.copy(f"{root}/corpus_pipeline.py", tmp_path)
+    if left == "empty folder":
+        (tmp_path / "parlora" / "llm" / "__pycache__").mkdir(parents=True)
+    code = "import __spark_entry__ as e; assert 'bm25_topk' in e.queries() and not [n for n in e.queries() if n.startswith('op') or n == 'pipeline'] and e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
+
+
+def test_nothing_else_imports_llm():
+    import re
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    files = [f for f in glob.glob(f"{root}/parlora/**/*.py", recursive=True) + glob.glob(f"{root}/tests/*.py") + [f"{root}/bench.py"] if "/parlora/llm/" not in f]
+    assert len(files) > 20
+    assert not [f for f in files if re.search(r"^\s*(from|import) (parlora|\.+)\.?llm\b", open(f).read(), re.M)]
