@@ -115,6 +115,23 @@ WHERE k / (x.n + y.n - k) >= 0.5
 """
 
 
+OP9_SQL = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9\x{80}-\x{10ffff}]+') AS w
+  FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+stretches AS (
+  SELECT doc_id, i, array_to_string(w[i + 1 : i + 50], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(len(w) - 49)) AS i FROM words WHERE len(w) >= 50)),
+shared AS (
+  SELECT DISTINCT doc_id, i
+  FROM stretches SEMI JOIN (SELECT g FROM stretches GROUP BY g HAVING min(doc_id) < max(doc_id)) USING (g)),
+islands AS (SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS island FROM shared)
+SELECT doc_id, CAST(min(i) AS INTEGER) AS start_token, CAST(max(i) + 50 AS INTEGER) AS end_token,
+       CAST(max(i) + 50 - min(i) AS INTEGER) AS n_tokens
+FROM islands GROUP BY doc_id, island
+"""
+
+
 QUERIES = (
     op1_language_id,
     op2_ngram_jaccard_join,
@@ -134,4 +151,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_language_id": OP1_SQL, "op2_ngram_jaccard_join": OP2_SQL, "op8_exact_dedup": OP8_SQL}
+    return {"op1_language_id": OP1_SQL, "op2_ngram_jaccard_join": OP2_SQL, "op8_exact_dedup": OP8_SQL, "op9_substring_dedup": OP9_SQL}

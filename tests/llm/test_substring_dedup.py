@@ -3,7 +3,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
-from parlora.llm.substring_dedup import LEAST, compact, repeated_spans
+from parlora.llm.substring_dedup import LEAST, compact, repeated_spans, segments
 
 from .conftest import SCHEMA, row, words
 
@@ -51,14 +51,32 @@ def test_planted_passages(spark):
     rows = repeated_spans(spark.createDataFrame([row(d, t) for d, t in texts.items()], SCHEMA)).collect()
     got = marked(texts, rows)
     assert all((covered(texts)[d] == got[d]).all() for d in texts)
-    spans = {r["doc_id"]: (r["start_token"], r["end_token"], r["first_doc_id"]) for r in rows}
-    assert spans == {i: (40 + i, 91 + i, 1) for i in range(1, 6)} | {7: (0, 50, 7), 8: (90, 140, 7)}
+    spans = {r["doc_id"]: (r["start_token"], r["end_token"]) for r in rows}
+    assert spans == {i: (40 + i, 91 + i) for i in range(1, 6)} | {7: (0, 50), 8: (90, 140)}
+
+
+def test_few_bits_give_the_same_spans(spark):
+    passage, line = words(70, 1), words(9, 5)
+    texts = {i: f"{words(40 + i, 10 + i)} {passage} {words(30, 50 + i)}" for i in range(1, 4)} | {5: words(150, 5), 6: f"{line} " * 20, 7: words(12, 6) + f" {line}" * 12}
+    docs = spark.createDataFrame([row(d, t) for d, t in texts.items()], SCHEMA)
+    want, few = covered(texts), marked(texts, repeated_spans(docs, bits=5).collect())
+    assert want[1].sum() == 70 and want[7].sum() > 100
+    assert {d: few[d].nonzero()[0].tolist() for d in texts} == {d: want[d].nonzero()[0].tolist() for d in texts}
+
+
+def test_copies_of_a_passage_walk_one_path(spark):
+    """Segments name the same path for all copies, and a document that leaves and joins a path has one each side."""
+    paths = compact(spark.createDataFrame([(1, 2), (2, 3), (3, 4), (4, 5), (9, 4)], "u long, v long"))
+    rows = [(1, 10, 1, 12), (1, 12, 2, 14), (1, 14, 3, 16), (1, 16, 4, 18), (1, 18, 5, -1), (2, 0, 9, 3), (2, 3, 4, 6), (2, 6, 5, -1), (3, 7, 2, 9), (3, 9, 3, -1), (3, 30, 1, 31)]
+    found = spark.createDataFrame([(*r, r[3] >= 0 and r[:2] != (3, 30)) for r in rows], "doc_id long, pos int, node long, next int, repeated boolean")
+    got = sorted((r["doc_id"], r["path"], r["from"], r["to"], r["linked"]) for r in segments(found, paths).collect())
+    assert got == [(1, 3, 10, 14, False), (1, 5, 16, 18, True), (2, 5, 3, 6, True), (2, 9, 0, 0, False), (3, 3, 7, 9, False), (3, 3, 30, 30, False)]
 
 
 def test_runs_of_one_token(spark):
-    texts = {1: "of " * 300, 2: words(20, 1) + " of" * 120, 3: "a " * 40, 4: " of" * 49}
-    got = marked(texts, repeated_spans(spark.createDataFrame([row(d, t) for d, t in texts.items()], SCHEMA)).collect())
-    assert got[2][20:].all() and not got[2][:20].any() and not got[3].any() and not got[4].any() and got[1][:50].all()
+    texts = {1: "of " * 300, 2: words(20, 1) + " of" * 120, 3: "a " * 40, 4: " of" * 49, 5: "of " * 300 + "end"}
+    got, want = marked(texts, repeated_spans(spark.createDataFrame([row(d, t) for d, t in texts.items()], SCHEMA)).collect()), covered(texts)
+    assert all((got[d] == want[d]).all() for d in texts) and want[1].all() and not want[4].any()
 
 
 def test_periodic_stretches_are_covered_whole(spark):
