@@ -125,7 +125,8 @@ stretches AS (
 shared AS (
   SELECT DISTINCT doc_id, i
   FROM stretches SEMI JOIN (SELECT g FROM stretches GROUP BY g HAVING min(doc_id) < max(doc_id)) USING (g)),
-islands AS (SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS island FROM shared)
+apart AS (SELECT *, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50, true) AS begins FROM shared),
+islands AS (SELECT doc_id, i, sum(begins::INT) OVER (PARTITION BY doc_id ORDER BY i) AS island FROM apart)
 SELECT doc_id, CAST(min(i) AS INTEGER) AS start_token, CAST(max(i) + 50 AS INTEGER) AS end_token,
        CAST(max(i) + 50 - min(i) AS INTEGER) AS n_tokens
 FROM islands GROUP BY doc_id, island

@@ -256,10 +256,10 @@ def _islands(wholes: DataFrame, least: int) -> DataFrame:
     return spans.agg(F.min("pos").alias("start_token"), (F.max("pos") + least).alias("end_token")).drop("island")
 
 
-def _joined(spans: DataFrame, least: int) -> DataFrame:
-    """Spans that share ``least`` - 1 tokens or more as one: no stretch of ``least`` tokens lies in both only together."""
+def _joined(spans: DataFrame) -> DataFrame:
+    """Spans that overlap or touch as one."""
     order = Window.partitionBy("doc_id").orderBy("start_token", F.desc("end_token"))
-    apart = F.coalesce(F.col("start_token") + least - 1 > F.max("end_token").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+    apart = F.coalesce(F.col("start_token") > F.max("end_token").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
     marked = spans.withColumn("apart", apart.cast("int")).withColumn("n", F.sum("apart").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return marked.groupBy("doc_id", "n").agg(F.min("start_token").alias("start_token"), F.max("end_token").alias("end_token")).drop("n")
 
@@ -290,8 +290,8 @@ def _runs(pieces: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame, k: int = K, least: int = LEAST, bits: int = 64) -> DataFrame:
     """(doc_id, start_token, end_token, n_tokens) of repeats of ``least`` tokens or more.
 
-    One row for each maximal run of a document whose every stretch of ``least`` tokens also stands in another document:
-    tokens ``start_token`` to ``end_token`` (exclusive). ``bits`` is the length of the hashes; fewer bits give the same
+    One row for each maximal run of tokens of a document that all lie in stretches of ``least`` tokens which also stand in
+    another document: tokens ``start_token`` to ``end_token`` (exclusive). ``bits`` is the length of the hashes; fewer bits give the same
     rows with more to verify.
     """
     window = least - k + 1
@@ -333,5 +333,5 @@ def repeated_spans(docs: DataFrame, k: int = K, least: int = LEAST, bits: int =
     extents = materialize(extents.agg(F.max(F.when(F.col("kind") == _BEFORE, F.col("extent"))).alias("before"), F.max(F.when(F.col("kind") == _AFTER, F.col("extent"))).alias("after")), "extents")
     full = runs.join(extents.select("doc_id", F.col("pos").alias("from"), "before"), ["doc_id", "from"]).join(extents.select("doc_id", F.col("pos").alias("to"), "after"), ["doc_id", "to"])
     spans = full.select("doc_id", (F.col("from") - F.coalesce("before", F.lit(0))).alias("start_token"), (F.col("to") + k + F.coalesce("after", F.lit(0))).alias("end_token"))
-    spans = _joined(spans.where(F.col("end_token") - F.col("start_token") >= least).union(_islands(wholes, least)), least)
+    spans = _joined(spans.where(F.col("end_token") - F.col("start_token") >= least).union(_islands(wholes, least)))
     return spans.select("doc_id", "start_token", "end_token", (F.col("end_token") - F.col("start_token")).alias("n_tokens"))

@@ -31,7 +31,9 @@ def marked(texts, rows):
     out = {d: np.zeros(len(tokens(t)), bool) for d, t in texts.items()}
     for r in rows:
         assert r["n_tokens"] == r["end_token"] - r["start_token"] >= LEAST
-        out[r["doc_id"]][r["start_token"] : r["end_token"]] = True
+        a, b = r["start_token"], r["end_token"]
+        assert not out[r["doc_id"]][max(0, a - 1) : b + 1].any(), "spans neither overlap nor touch"
+        out[r["doc_id"]][a:b] = True
     return out
 
 
