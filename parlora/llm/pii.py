@@ -1,40 +1,47 @@
 """PII by bootstrapped contextual extraction.
 
-Candidates are the spans of a text that hold a digit or ``@``. Each induces lexical patterns: its shape (runs of
-letters and digits), its literal prefix with the shape of the rest, and its shape beside the one or two words before
-it or the word after it. The same words with only a coarse class of the string are patterns too, so a string of a shape
-that no seed has is found by its context; such a pattern also needs the share ``trust`` of all its strings, labelled
-or not. Patterns and candidate strings form a graph. Seed entities of each kind, and seeds that are no
-identifiers, label some strings; then iterations alternate in Spark: a pattern is trusted for a kind when nearly all
-labelled weight on it is of that kind and enough distinct strings support it, and a string takes the noisy-or of its
-trusted patterns. Accepted strings raise further patterns, so identifiers unlike the seeds are found; every
-occurrence of an accepted string is a find.
-
-The seeds are all strings that a strict rule accepts, so each of them is a find; all documents, candidates and patterns
-take part in the graph.
+Candidates are the spans of a text that hold a digit, ``@``, or ``=`` or ``:`` within a word, and all other strings of
+the strict rule. Each induces lexical patterns: its shape (runs of letters and digits), its literal prefix with the shape
+of the rest, and its shape beside the one or two words before it or the word after it. The same words with only a
+coarse class of the string are patterns too, so a string of a shape that no seed has is found by its context; such a
+pattern also needs the share ``trust`` of all its strings, labelled or not. Patterns and candidate strings form a graph.
+Seed entities of each kind, and seeds that are no identifiers, label some strings; then iterations alternate in Spark: a
+pattern is trusted for a kind when nearly all labelled weight on it is of that kind and enough distinct strings support
+it, and a string takes the noisy-or of its trusted patterns. Accepted strings stay accepted and raise further patterns,
+until a round accepts nothing new. Then the plain words that stand in trusted contexts join the candidates, which can
+cost a context its trust, and the graph is scored again until no further context is trusted. Every occurrence of an
+accepted string is a find.
+
+The seeds are all strings that a strict rule accepts, so each of them is a find, and those that a caller gives, which
+may be of other kinds; all documents, candidates and patterns take part in the graph.
 
 Cases: null and empty texts hold nothing. A find names its row's ``doc_id``, null included; repeated rows give
-repeated finds. A string accepted for several kinds gets the most certain one, ties by name. Extra columns are
-ignored. Empty tables give empty results.
+repeated finds. A string accepted for several kinds gets the most certain one, ties by name. Neighbouring words of over
+64 characters stand in patterns by their digest. Extra columns are ignored. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import materialize
+from .scratch import discard, materialize
 from .ship import ship
 
-KINDS = ("card", "email", "ip", "phone", "secret")
+KINDS = ("card", "email", "iban", "ip", "phone", "secret", "ssn")
 NONE = "none"
 #: Begins a pattern of the words around a span that doesn't hold its shape.
 CONTEXT = "C"
-_MARK = re.compile(r"[0-9@]")
+#: Contexts that one pass over the texts looks for, about.
+PASS = 100_000
+_MARK = re.compile(r"[0-9@]|(?<=\w)[=:](?=[^\s/])|AKIA[A-Z]{16}|(?<![\w])[a-f]{40}(?!\w)")
+_LONG_WORD = 64
+_WORD = re.compile(r"\S+")
 _PHONE = re.compile(r"[+(][0-9(][0-9()+. -]*[0-9]")
 _QUOTED = re.compile(r"""["'“‘(\[<{]+""")
 _TAIL = re.compile(r"""[^\w=+/-]+$""")
@@ -93,29 +100,55 @@ def _coarse(value: str) -> str:
     return "digits" if digits < 7 else "DIGITS"
 
 
+def _named(word: str) -> str:
+    low = word.lower()
+    return low if len(low) <= _LONG_WORD else "#" + blake2b(low.encode("utf-8", "replace"), digest_size=16).hexdigest()
+
+
+def neighbours(text: str, a: int, b: int) -> tuple[list[str], list[str]]:
+    """The two words before a span, and the one after it; a part of a word that touches the span counts as one."""
+    before: list[str] = []
+    end = a
+    while len(before) < 2 and end > 0:
+        while end > 0 and text[end - 1].isspace():
+            end -= 1
+        begin = end
+        while begin > 0 and not text[begin - 1].isspace():
+            begin -= 1
+        if begin < end:
+            before.insert(0, _named(text[begin:end]))
+        end = begin
+    after = _WORD.search(text, b)
+    return before, [_named(after[0])] if after else []
+
+
+def contexts(before: list[str], after: list[str], kind: str) -> list[str]:
+    """The patterns of the words around a span, with only the coarse class of its string."""
+    out = []
+    if before:
+        out.append(f"{CONTEXT}L {before[-1]} {kind}")
+    if len(before) == 2:
+        out.append(f"{CONTEXT}M {before[0]} {before[1]} {kind}")
+    if after:
+        out.append(f"{CONTEXT}R {after[0]} {kind}")
+    return out
+
+
 def patterns(text: str, a: int, b: int, value: str) -> list[str]:
     """The lexical patterns of a span."""
     own = shape(value)
-    before = text[max(0, a - 60) : a].split()[-2:]
-    after = text[b : b + 40].split()[:1]
+    before, after = neighbours(text, a, b)
     out = [f"S {own}"]
     prefix = _PREFIX.match(value)
     if prefix:
         out.append(f"P {prefix[0].lower()} {shape(value[prefix.end():])}")
     if before:
-        out.append(f"L {before[-1].lower()} {own}")
-    if len(before) == 2:
-        out.append(f"M {before[0].lower()} {before[1].lower()} {own}")
-    if after:
-        out.append(f"R {after[0].lower()} {own}")
-    coarse = _coarse(value)
-    if before:
-        out.append(f"{CONTEXT}L {before[-1].lower()} {coarse}")
+        out.append(f"L {before[-1]} {own}")
     if len(before) == 2:
-        out.append(f"{CONTEXT}M {before[0].lower()} {before[1].lower()} {coarse}")
+        out.append(f"M {before[0]} {before[1]} {own}")
     if after:
-        out.append(f"{CONTEXT}R {after[0].lower()} {coarse}")
-    return out
+        out.append(f"R {after[0]} {own}")
+    return out + contexts(before, after, _coarse(value))
 
 
 def luhn(digits: str) -> bool:
@@ -135,6 +168,10 @@ def seed_kind(value: str) -> str | None:
         return "ip"
     if re.fullmatch(r"[1-9]\d{12,18}", value) and luhn(value):
         return "card"
+    if re.fullmatch(r"(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}", value):
+        return "ssn"
+    if re.fullmatch(r"[A-Z]{2}\d{2}[0-9A-Z]{11,30}", value) and int("".join(str(int(c, 36)) for c in value[4:] + value[:4])) % 97 == 1:
+        return "iban"
     if re.fullmatch(r"\+\d{1,3} ?\(?\d{2,4}\)?[ .-]?\d{3}[ .-]?\d{4}", value):
         return "phone"
     if re.fullmatch(r"(?i:pass(?:word|wd)?|secret|token|api_?key)[=:]\S{8,}|AKIA[0-9A-Z]{16}|[0-9a-f]{40}", value):
@@ -144,54 +181,128 @@ def seed_kind(value: str) -> str | None:
     return None
 
 
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_FOUND = "doc_id long, start int, end int, value string, seed string, patterns array<string>"
+
+
+def _batch(rows: list) -> pa.RecordBatch:
     types = (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.string()))
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["doc_id", "start", "end", "value", "seed", "patterns"])
+
+
+def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             for a, b, value in candidates(text):
                 rows.append((doc_id, a, b, value, seed_kind(value), patterns(text, a, b, value)))
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["doc_id", "start", "end", "value", "seed", "patterns"])
+            yield _batch(rows)
+
 
+def plain_words(text: str, wanted: dict[str, set[str]]) -> Iterator[tuple[int, int, str, list[str]]]:
+    """(start, end, word, patterns) of the words that are no candidates and stand in one of the contexts.
+
+    ``wanted`` has the contexts by the word next to the string.
+    """
+    words, last, taken = list(_WORD.finditer(text)), 0, candidates(text)
+    for i, m in enumerate(words):
+        near = ([_named(words[i - 1][0])] if i else []) + ([_named(words[i + 1][0])] if i + 1 < len(words) else [])
+        if not any(w in wanted for w in near):
+            continue
+        a, b = m.span()
+        lead, tail = _QUOTED.match(text, a, b), _TAIL.search(text, a, b)
+        a, b = lead.end() if lead else a, tail.start() if tail else b
+        while last < len(taken) and taken[last][1] <= a:
+            last += 1
+        if b <= a or last < len(taken) and taken[last][0] < b:
+            continue
+        found = patterns(text, a, b, text[a:b])
+        if any(p in wanted[w] for w in near if w in wanted for p in found):
+            yield a, b, text[a:b], found
 
-def score_graph(edges: DataFrame, seeds: DataFrame, rounds: int, support: int, trust: float, accept: float) -> DataFrame:
-    """(value, kind, score) of accepted strings, from ``edges(pattern, value)`` and ``seeds(value, kind)``."""
+
+def _plain(known: list[str]):
+    wanted: dict[str, set[str]] = {}
+    for pattern in known:
+        wanted.setdefault(pattern.split(" ")[-2], set()).add(pattern)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                rows += [(doc_id, a, b, value, None, found) for a, b, value, found in plain_words(text, wanted)]
+            if rows:
+                yield _batch(rows)
+
+    return run
+
+
+def score_graph(edges: DataFrame, seeds: DataFrame, support: int, trust: float, accept: float) -> tuple[DataFrame, DataFrame]:
+    """(value, kind, score) of accepted strings and the trusted patterns, from ``edges(pattern, value)`` and ``seeds(value, kind)``.
+
+    A pattern's weight for a kind is the sum of its strings' scores, and its trust the kind's share of that. A string that
+    was accepted stays so with its best score, so the rounds come to an end.
+    """
     edges = materialize(edges.distinct(), "edges")
     seeds = materialize(seeds.distinct(), "seeds")
-    known, before = seeds.withColumn("score", F.lit(1.0)), -1
-    for _ in range(rounds):
+    first = seeds.withColumn("score", F.lit(1.0))
+    known, before, held = first, seeds.count(), None
+    while True:
         weight = edges.join(known, "value", "left").groupBy("pattern", "kind").agg(F.sum("score").alias("w"), F.count("*").alias("n"))
         by = Window.partitionBy("pattern")
         share, of_all = F.col("w") / F.sum("w").over(by), F.col("n") / F.sum("n").over(by)
         certain = ~F.col("pattern").startswith(CONTEXT) | (F.col("of_all") >= trust)
         trusted = weight.withColumn("trust", share).withColumn("of_all", of_all).where(certain & (F.col("trust") >= trust) & (F.col("n") >= support) & (F.col("kind") != NONE))
         confidence = F.col("trust") * F.col("n") / (F.col("n") + 0.5)
-        reached = edges.join(trusted.select("pattern", "kind", confidence.alias("c")), "pattern").groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.least("c", F.lit(0.999)))))).alias("score"))
-        fresh = reached.where(F.col("score") >= accept).join(seeds.select("value"), "value", "left_anti")
-        known = materialize(fresh.select("value", "kind", "score").union(seeds.select("value", "kind", F.lit(1.0))), "known")
-        now = known.count()
+        trusted = materialize(trusted.select("pattern", "kind", confidence.alias("c")), "trusted")
+        reached = edges.join(trusted, "pattern").groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.least("c", F.lit(0.999)))))).alias("score"))
+        fresh = reached.where(F.col("score") >= accept).join(seeds.select("value"), "value", "left_anti").select("value", "kind", "score")
+        last, held = held, materialize(known.union(fresh).groupBy("value", "kind").agg(F.max("score").alias("score")), "known")
+        if last is not None:
+            discard(last)
+        known, now = held, held.count()
         if now == before:
             break
         before = now
+        discard(trusted)
     best = Window.partitionBy("value").orderBy(F.desc("score"), "kind")
-    return known.where(F.col("kind") != NONE).withColumn("r", F.row_number().over(best)).where("r = 1").drop("r")
+    return known.where(F.col("kind") != NONE).withColumn("r", F.row_number().over(best)).where("r = 1").drop("r"), trusted
 
 
-def find_pii(docs: DataFrame, seeds: int | None = None, rounds: int = 6, support: int = 5, trust: float = 0.9, accept: float = 0.8) -> DataFrame:
+def find_pii(docs: DataFrame, seeds: int | None = None, support: int = 5, trust: float = 0.9, accept: float = 0.8, known: DataFrame | None = None) -> DataFrame:
     """(doc_id, kind, start, end, identifier, score): every occurrence of an identifier, by character offsets.
 
-    Every string of the strict rule starts the bootstrap; a number of ``seeds`` leaves only that many of each kind, those
-    with the least hash. A pattern needs ``support`` distinct labelled strings and the
-    share ``trust`` of their weight in one kind; a string is accepted from the score ``accept`` on.
+    Every string of the strict rule starts the bootstrap, and those of ``known`` (value, kind), whose kind goes before the
+    rule's; a number of ``seeds`` leaves only that many of each kind, those with the least hash. A pattern needs
+    ``support`` distinct labelled strings and the share ``trust`` of their weight in one kind; a string is accepted from
+    the score ``accept`` on.
     """
     ship(docs.sparkSession)
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text rlike '[0-9@]'")
-    found = materialize(source.mapInArrow(_extract, "doc_id long, start int, end int, value string, seed string, patterns array<string>"), "candidates")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    found = materialize(source.mapInArrow(_extract, _FOUND), "candidates")
     chosen = found.where("seed is not null").select("value", F.col("seed").alias("kind")).distinct()
+    if known is not None:
+        given = known.select(F.col("value").cast("string").alias("value"), F.col("kind").cast("string").alias("kind")).where("value is not null and kind is not null")
+        chosen = chosen.join(given.select("value"), "value", "left_anti").union(given)
     if seeds is not None:
         pick = Window.partitionBy("kind").orderBy(F.xxhash64("value"), "value")
         chosen = chosen.withColumn("r", F.row_number().over(pick)).where(F.col("r") <= seeds).drop("r")
-    edges = found.select(F.explode("patterns").alias("pattern"), "value")
-    scored = score_graph(edges, chosen, rounds, support, trust, accept)
-    return found.join(scored, "value").select("doc_id", "kind", "start", "end", F.col("value").alias("identifier"), "score")
+    chosen = materialize(chosen, "seeds")
+    searched, words, every = None, None, found
+    while True:
+        scored, trusted = score_graph(every.select(F.explode("patterns").alias("pattern"), "value"), chosen, support, trust, accept)
+        fresh = trusted.where(F.col("pattern").startswith(CONTEXT)).select("pattern").distinct()
+        if searched is not None:
+            fresh = fresh.join(searched, "pattern", "left_anti")
+        fresh = materialize(fresh, "contexts")
+        passes = -(-fresh.count() // PASS)
+        if not passes:
+            break
+        for k in range(passes):
+            part = [r[0] for r in fresh.where(F.pmod(F.xxhash64("pattern"), F.lit(passes)) == k).collect()]
+            # A word may stand in contexts of several passes; n tells repeated rows from that.
+            met = source.mapInArrow(_plain(part), _FOUND).groupBy(*found.columns).agg(F.count("*").alias("n"))
+            words = materialize(met if words is None else words.union(met).groupBy(*found.columns).agg(F.max("n").alias("n")), "words")
+        every = found.union(words.select(*found.columns, F.explode(F.sequence(F.lit(1), F.col("n")))).drop("col"))
+        searched = fresh if searched is None else searched.union(fresh)
+    return every.join(scored, "value").select("doc_id", "kind", "start", "end", F.col("value").alias("identifier"), "score")

@@ -1,7 +1,11 @@
 import random
 import re
+from collections import defaultdict
 
-from parlora.llm.pii import candidates, find_pii, luhn, seed_kind, shape
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from parlora.llm.pii import CONTEXT, NONE, candidates, find_pii, luhn, neighbours, score_graph, seed_kind, shape
 
 from .conftest import SCHEMA, row, words
 
@@ -64,6 +68,92 @@ def test_candidates_and_shapes():
     assert seed_kind("4111111111111111") == "card" and seed_kind("4111111111111112") is None and seed_kind("2.0") == "none"
 
 
+SEEDS = (
+    r"[a-z][a-z0-9.]{0,8}@[a-z]{1,8}\.[a-z]{2,4}", r"[1-9]\d{0,1}\.\d{1,2}\.\d{1,2}\.\d{1,2}", r"\+\d \(\d{3}\) \d{3}-\d{4}", r"(?:password|token|api_key|secret)[=:][a-z]{8,20}",
+    r"AKIA[A-Z]{16}", r"[a-f]{40}", r"[1-8]\d{2}-\d[1-9]-\d{3}[1-9]",
+)
+
+
+@given(st.sampled_from(SEEDS).flatmap(lambda p: st.from_regex(p, fullmatch=True)).filter(lambda v: v.isascii()), st.sampled_from(("", "so ", '("')), st.sampled_from(("", " then", ".")))
+@settings(max_examples=300, deadline=None)
+def test_no_string_of_the_strict_rule_is_passed_over(value, before, after):
+    if seed_kind(value) not in (None, NONE):
+        assert value in [v for _, _, v in candidates(before + value + after)]
+
+
+def test_secrets_of_letters_and_national_numbers_are_found(spark):
+    rng = random.Random(3)
+    secrets = [f"password={''.join(rng.choice('abcdefghij') for _ in range(14))}" for _ in range(40)]
+    rows = [row(i, f"{words(3, i)} {v} {words(3, i + 100)}") for i, v in enumerate(secrets)]
+    rows += [row(100, "his number is 536-22-8726 he said"), row(101, "pay to GB82WEST12345698765432 soon"), row(102, "not GB82WEST12345698765431 nor 000-22-8726")]
+    got = {r["doc_id"]: (r["kind"], r["identifier"]) for r in find_pii(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {i: ("secret", v) for i, v in enumerate(secrets)} | {100: ("ssn", "536-22-8726"), 101: ("iban", "GB82WEST12345698765432")}
+
+
+def test_plain_words_in_trusted_contexts_are_found_and_can_break_trust(spark):
+    rows = [row(i, f"{words(2, i)} badge holder {chr(97 + i % 26) * 3}{chr(97 + i // 26) * 5}x=1 entered {words(2, i)}") for i in range(60)]
+    known = spark.createDataFrame([(r[1].split()[4], "badge") for r in rows[:55]], "value string, kind string")
+    rows += [row(100, "the badge holder peterssonn entered late")]
+    got = {r["doc_id"]: (r["kind"], r["identifier"]) for r in find_pii(spark.createDataFrame(rows, SCHEMA), known=known).collect()}
+    assert got[100] == ("badge", "peterssonn") and set(got) == {*range(60), 100}
+    broken = rows + [row(200 + i, f"a badge holder {words(1, 300 + i)}longer entered twice") for i in range(60)]
+    got = {r["doc_id"] for r in find_pii(spark.createDataFrame(broken, SCHEMA), known=known).collect()}
+    assert set(range(55)) <= got and not any(d >= 100 for d in got)
+
+
+def test_neighbours_are_whole_words():
+    long = "w" * 200
+    before, after = neighbours(f"{long} x 12 {long}", 203, 205)
+    assert before[1] == "x" and before[0].startswith("#") and after == before[:1]
+    assert neighbours("a b", 0, 1) == ([], ["b"]) and neighbours("One  Two\n9", 9, 10) == (["one", "two"], [])
+
+
+def scored_plainly(edges, seeds, support, trust, accept):
+    known = {(v, k): 1.0 for v, k in seeds}
+    labelled = {v for v, _ in seeds}
+    while True:
+        weight, n, total = defaultdict(float), defaultdict(int), defaultdict(float)
+        for p, v in edges:
+            kinds = [(k, s) for (w, k), s in known.items() if w == v]
+            for k, s in kinds or [(None, 0.0)]:
+                weight[p, k] += s
+                n[p, k] += 1
+        for (p, k), w in weight.items():
+            total[p] += w
+        of_all = {p: sum(c for (q, _), c in n.items() if q == p) for p, _ in edges}
+        trusted = {}
+        for (p, k), w in weight.items():
+            if k not in (None, NONE) and n[p, k] >= support and w / total[p] >= trust and (not p.startswith(CONTEXT) or n[p, k] / of_all[p] >= trust):
+                trusted[p, k] = w / total[p] * n[p, k] / (n[p, k] + 0.5)
+        miss = defaultdict(lambda: 1.0)
+        for p, v in edges:
+            for (q, k), c in trusted.items():
+                if q == p and v not in labelled:
+                    miss[v, k] *= 1 - min(c, 0.999)
+        new = {x: 1 - m for x, m in miss.items() if 1 - m >= accept}
+        size = len(known)
+        for x, s in new.items():
+            known[x] = max(known.get(x, 0.0), s)
+        if len(known) == size:
+            best = {}
+            for (v, k), s in sorted(known.items()):
+                if k != NONE and (v not in best or s > best[v][1] + 1e-12):
+                    best[v] = (k, s)
+            return best, set(trusted)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_the_graph_equals_a_plain_scoring(spark, seed):
+    rng = random.Random(seed)
+    edges = {(rng.choice(("S", CONTEXT)) + str(rng.randrange(8)), f"v{rng.randrange(60)}") for _ in range(200)}
+    seeds = {(f"v{i}", rng.choice(("a", "a", "a", "b", NONE)) if i % 3 else "a") for i in range(30)}
+    scored, trusted = score_graph(spark.createDataFrame(sorted(edges), "pattern string, value string"), spark.createDataFrame(sorted(seeds), "value string, kind string"), 3, 0.6, 0.7)
+    want, patterns = scored_plainly(edges, seeds, 3, 0.6, 0.7)
+    got = {r["value"]: (r["kind"], r["score"]) for r in scored.collect()}
+    assert {v: k for v, (k, _) in got.items()} == {v: k for v, (k, _) in want.items()} and len(got) > 20
+    assert all(abs(got[v][1] - s) < 1e-9 for v, (_, s) in want.items()) and {(r["pattern"], r["kind"]) for r in trusted.collect()} == patterns
+
+
 def test_odd_rows(odd, none):
     assert find_pii(odd).count() == 0
     assert find_pii(none).count() == 0
