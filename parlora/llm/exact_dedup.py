@@ -2,12 +2,13 @@
 
 The distinct SHA-256 digests of historical documents are cut into shards; each shard gets a minimal perfect hash
 (levels of bit arrays, as in BBHash) whose slots hold the full digest and the locator of the winner, the least
-``doc_id``. New documents go to their shard, look up their slot and compare all 32 digest bytes: equal ones repeat a
-historical document. The rest are grouped by digest among themselves. Shards hold a bounded number of digests, so
-their number grows with the history, and nothing is broadcast.
+``doc_id``. The distinct digests of new documents go to their shard, look up their slot and compare all 32 bytes: equal
+ones repeat a historical document. The rest were grouped by digest among themselves. Shards hold a bounded number of
+digests of either side, so their number grows with the larger one, however often a text stands there or how its ids lie;
+nothing is broadcast.
 
 Cases: a null text equals nothing and its row always stays; the empty text is a text. Among equal texts the least
-``doc_id`` wins and a null ``doc_id`` comes last. Repeated rows (same ``doc_id``, same text) are copies, of which one
+``doc_id`` wins and a null ``doc_id`` comes last; where all are null, the winner is null too. Repeated rows (same ``doc_id``, same text) are copies, of which one
 stays. Extra columns are carried by the filter whatever their names. Empty tables give empty results.
 """
 
@@ -79,7 +80,7 @@ def _build(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _look_up(new: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
-    out = pd.DataFrame({"doc_id": new["doc_id"].astype("Int64"), "digest": new["digest"], "n": new["n"], "winner": pd.Series(pd.NA, new.index, "Int64"), "member": False})
+    winner = new["first"].astype("Int64").reset_index(drop=True)
     if len(new) and len(table):
         row = table.iloc[0]
         levels, at = [], 0
@@ -92,12 +93,11 @@ def _look_up(new: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
         digests, winners = np.frombuffer(row["digests"], U64).reshape(-1, 4), np.frombuffer(row["winners"], np.int64)
         member = slot >= 0
         member[member] = (digests[slot[member]] == words[member]).all(axis=1)
-        own = winners[slot[member]]
-        out["member"] = member
-        out.loc[member, "winner"] = pd.array(np.where(own == _NONE, 0, own), "Int64").copy()
-        if (own == _NONE).any():
-            out.loc[np.flatnonzero(member)[own == _NONE], "winner"] = pd.NA
-    return out
+        at = np.flatnonzero(member)
+        own = winners[slot[at]]
+        winner[at] = pd.array(np.where(own == _NONE, 0, own), "Int64")
+        winner[at[own == _NONE]] = pd.NA
+    return pd.DataFrame({"digest": new["digest"].reset_index(drop=True), "winner": winner})
 
 
 def _digest() -> Column:
@@ -108,33 +108,27 @@ def assign_winners(docs: DataFrame, history: DataFrame | None = None) -> DataFra
     """(doc_id, digest, n, winner): each distinct (doc_id, text) of ``docs``, its rows, and the ``doc_id`` that wins.
 
     ``history`` (doc_id, text) are documents taken in before. Without it the table is its own history: the documents
-    up to the middle of the range of ``doc_id`` form it and the rest are looked up in it. Rows with null text are
+    up to about the median ``doc_id`` form it and the rest are looked up in it. Rows with null text are
     left out.
     """
     ship(docs.sparkSession)
     keyed = lambda df: df.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), _digest().alias("digest")).groupBy("doc_id", "digest").agg(F.count("*").alias("n"))
     rows = materialize(keyed(docs), "digests")
     if history is None:
-        lo, hi = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
-        middle = None if lo is None else (lo + hi) // 2
+        middle = rows.agg(F.percentile_approx("doc_id", 0.5)).first()[0]
         old, new = (rows.where(F.lit(False)), rows) if middle is None else (rows.where(F.col("doc_id") <= middle), rows.where((F.col("doc_id") > middle) | F.col("doc_id").isNull()))
     else:
         old, new = keyed(history), rows
-    distinct = materialize(old.groupBy("digest").agg(F.min("doc_id").alias("winner")), "history")
-    shards = max(1, -(-distinct.count() // SHARD))
+    known = materialize(old.groupBy("digest").agg(F.min("doc_id").alias("winner")), "history")
+    asked = materialize(new.groupBy("digest").agg(F.min("doc_id").alias("first")), "asked")
+    shards = max(1, -(-max(known.count(), asked.count()) // SHARD))
     shard = F.pmod(F.xxhash64("digest"), F.lit(shards))
-    tables = distinct.withColumn("shard", shard).groupBy("shard").applyInPandas(_build, "shard long, sizes binary, bits binary, digests binary, winners binary")
-    probed = materialize(
-        new.withColumn("shard", shard).groupBy("shard").cogroup(tables.groupBy("shard")).applyInPandas(_look_up, "doc_id long, digest binary, n long, winner long, member boolean"),
-        "probed",
-    )
-    members = probed.where("member").select("doc_id", "digest", "n", "winner")
-    others = probed.where("not member").select("doc_id", "digest", "n")
-    fresh = others.join(others.groupBy("digest").agg(F.min("doc_id").alias("winner")), "digest").select("doc_id", "digest", "n", "winner")
-    result = members.union(fresh)
+    tables = known.withColumn("shard", shard).groupBy("shard").applyInPandas(_build, "shard long, sizes binary, bits binary, digests binary, winners binary")
+    found = asked.withColumn("shard", shard).groupBy("shard").cogroup(tables.groupBy("shard")).applyInPandas(_look_up, "digest binary, winner long")
+    result = new.join(materialize(found, "probed"), "digest")
     if history is None:
-        result = result.union(old.join(distinct, "digest").select("doc_id", "digest", "n", "winner"))
-    return result
+        result = result.union(old.join(known, "digest").select(*result.columns))
+    return result.select("doc_id", "digest", "n", "winner")
 
 
 def exact_dedup(docs: DataFrame, history: DataFrame | None = None) -> DataFrame:

@@ -2,6 +2,8 @@ import hashlib
 from collections import defaultdict
 
 import numpy as np
+import pytest
+from parlora.llm import exact_dedup as module
 from parlora.llm.exact_dedup import build_mph, drop_exact_copies, exact_dedup, mph_slots
 
 from .conftest import SCHEMA, row
@@ -36,6 +38,31 @@ def test_history_wins(spark):
     assert {r["doc_id"] for r in drop_exact_copies(new, old.where("doc_id > 0")).collect()} == set()
 
 
+@pytest.mark.parametrize("ids", ["all null", "one far below", "one text, many ids", "one id, many texts"])
+def test_any_ids_in_small_shards(spark, monkeypatch, ids):
+    """No group of the perfect hash holds more than about a shard, whatever the ids."""
+    monkeypatch.setattr(module, "SHARD", 64)
+    sizes = spark.sparkContext.accumulator(0)
+    looked = module._look_up
+
+    def look_up(new, table):
+        sizes.add(int(max(len(new), len(np.frombuffer(table["winners"].iloc[0], np.int64)) if len(table) else 0) > 200))
+        return looked(new, table)
+
+    monkeypatch.setattr(module, "_look_up", look_up)
+    name = lambda i: {"all null": None, "one far below": i if i else -(10**15), "one text, many ids": i, "one id, many texts": 7}[ids]
+    text = lambda i: "same" if ids == "one text, many ids" else f"text {i % 700}"
+    rows = [row(name(i), text(i)) for i in range(1400)]
+    groups = defaultdict(list)
+    for r in rows:
+        groups[r[1]].append(r[0])
+    got = module.exact_dedup(spark.createDataFrame(rows, SCHEMA)).collect()
+    least = lambda g: min((x for x in g if x is not None), default=None)
+    assert sorted((repr(r["doc_id"]), r["copies"]) for r in got) == sorted((repr(least(g)), len(g) - 1) for g in groups.values())
+    assert sizes.value == 0
+    assert drop_exact_copies(spark.createDataFrame(rows, SCHEMA)).count() == len(groups)
+
+
 def test_odd_rows(odd, none):
     kept = drop_exact_copies(odd)
     assert kept.columns == odd.columns
