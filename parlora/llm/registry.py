@@ -84,7 +84,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mixing_rates(_docs(spark, sf_dir))
+    return mixing.mixing_rates(_docs(spark, sf_dir), targets={"src0": 4.0}, default=1.0)
 
 
 OP8_SQL = """

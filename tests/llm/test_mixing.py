@@ -2,7 +2,8 @@ import math
 from collections import defaultdict
 
 import numpy as np
-from parlora.llm.mixing import ALPHA, mix_sources, mixing_rates
+import pytest
+from parlora.llm.mixing import ALPHA, _kinds, mix_sources, mixing_rates, solve
 
 from .conftest import SCHEMA, row, words
 
@@ -65,6 +66,38 @@ def test_targets_and_rounding(spark):
     assert abs(copies - 4 / 3) < 0.05
 
 
+def test_given_targets_with_a_default_hold(docs):
+    rows = mixing_rates(docs, {"src0": 4.0}, default=1.0).collect()
+    got, names = shares(rows, "source"), {r["source"] for r in rows}
+    assert len(names) > 5 and all(abs(got[s] - (4 if s == "src0" else 1) / (len(names) + 3)) < 1e-6 for s in names)
+    before = {x: sum(r["tokens"] for r in rows if r["lang"] == x) / sum(r["tokens"] for r in rows) for x in {r["lang"] for r in rows}}
+    after = shares(rows, "lang")
+    assert all(abs(after[x] - before[x]) < 1e-6 for x in before) and max(r["rate"] for r in rows) > 2
+
+
+def test_targets_that_cannot_be_met(spark):
+    """Each language stands in one source only, so the shares of sources can't change while those of languages stay."""
+    rows = [row(i, words(20 + i, i), ("en", "fr")[i % 2], "ab"[i % 2]) for i in range(60)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    with pytest.warns(UserWarning, match="no rates"):
+        balance = solve(_kinds(frame), {"a": 1.0, "b": 3.0}, most=6)
+    assert not balance.whole and balance.slope == 0
+    offsets = {r["source"]: r["offset"] for r in balance.cells.collect()}
+    tokens = {s: sum(len(r[1].split()) for r in rows if r[3] == s) for s in "ab"}
+    assert abs(math.exp(offsets["=b"] - offsets["=a"]) * tokens["b"] / tokens["a"] - 3) < 1e-9
+    for targets in ({"a": 1.0}, {"a": 1.0, "b": 0.0}):
+        with pytest.raises(ValueError, match="above 0"):
+            mixing_rates(frame, targets)
+
+
+def test_many_sources(spark):
+    rows = [row(i, words(5 + i % 37, i), ("en", "fr", "de")[i * 7 % 3], f"site{i % 400}") for i in range(2400)]
+    got = mixing_rates(spark.createDataFrame(rows, SCHEMA), alpha=0.5).collect()
+    natural = {s: sum(r["tokens"] for r in got if r["source"] == s) for s in {r["source"] for r in got}}
+    norm, have = sum(v**0.5 for v in natural.values()), shares(got, "source")
+    assert len(natural) == 400 and all(abs(have[s] - v**0.5 / norm) < 1e-6 for s, v in natural.items())
+
+
 def test_rows_repeat_and_none_goes(docs):
     rates = {r["doc_id"]: r["copies"] for r in mixing_rates(docs).collect()}
     mixed = mix_sources(docs)
