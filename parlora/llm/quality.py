@@ -1,10 +1,11 @@
 """Quality classifier by co-training.
 
-Two views judge a document: its text content (character classes, token lengths, variety and repetition; no
-words) and its page metadata (source, language, size and line layout). Each view is a logistic regression.
-They start from labelled documents; in each round each view scores all unlabelled documents, and its most confident
-ones of either class become training rows of the other view. Each view is then calibrated (Platt) on labelled
-documents held out from training, and a logistic regression on the two calibrated log odds scores every document.
+Two views judge a document: its text content (character classes, token lengths, variety, repetition and line layout; no
+words) and its metadata (source, language and declared size; nothing that is read off the text). Each view is a logistic
+regression. They start from labelled documents; in each round each view scores all unlabelled documents, and its most
+confident ones of either class become training rows of the other view. Of the labelled documents held out from training
+one half calibrates each view (Platt), and on the other half a logistic regression on the two calibrated log odds is
+fitted, which scores every document.
 
 Only training is bounded: at most ``most_labelled`` labelled documents, chosen by a hash of ``doc_id``, and
 ``exchange`` pseudo-labels per view, class and round; scoring and the search for pseudo-labels cover all documents.
@@ -37,8 +38,8 @@ _KIND[[9, 13, 32]] = 4
 _KIND[10] = 5
 _KIND[[ord(c) for c in ".,;:'\"-()"]] = 6
 _N_KINDS, _SOURCES, _LANGS = 8, 64, 16
-TEXT_FEATURES = _N_KINDS + 8
-META_FEATURES = _SOURCES + _LANGS + 6
+TEXT_FEATURES = _N_KINDS + 12
+META_FEATURES = _SOURCES + _LANGS + 2
 
 
 def _per_text(values: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -76,8 +77,12 @@ def text_view(raw_texts: list[bytes], lowered: list[bytes]) -> np.ndarray:
     n1, n3 = np.maximum(n, 1), np.maximum(np.diff(goff), 1)
     doubled = _per_text(np.concatenate((tokens[1:] == tokens[:-1], [False])).astype(np.int64) if len(tokens) else np.empty(0, np.int64), toff)
     letters = shares[:, 0] + shares[:, 1] + shares[:, 3]
+    lines = np.array([r.count(b"\n") + 1 for r in raw_texts], float)
+    length = np.array([len(r) for r in raw_texts], float)
+    longest = np.array([max(map(len, r.split(b"\n"))) for r in raw_texts], float)
+    layout = np.stack((np.log1p(lines), np.log1p(length / lines), np.log1p(longest), np.log1p(length)), axis=1)
     more = np.stack((np.log1p(n), letters * size / n1, unique / np.sqrt(n1), most / n1, unique3 / n3, most3 / n3, doubled / n1, shares[:, 7] / np.maximum(shares[:, 4], 1e-3)), axis=1)
-    return np.concatenate((shares, more), axis=1)
+    return np.concatenate((shares, more, layout), axis=1)
 
 
 def _slots(values: list[str | None], size: int) -> np.ndarray:
@@ -92,10 +97,9 @@ def hash_text(value: str) -> int:
     return h
 
 
-def meta_view(sources: list, langs: list, sizes: np.ndarray, raw_texts: list[bytes]) -> np.ndarray:
+def meta_view(sources: list, langs: list, sizes: np.ndarray) -> np.ndarray:
     """Metadata features of a slice of documents (documents x META_FEATURES)."""
-    n = len(raw_texts)
-    out = np.zeros((n, META_FEATURES))
+    out = np.zeros((len(sources), META_FEATURES))
     known: dict = {}
     for k, (values, width) in enumerate(((sources, _SOURCES), (langs, _LANGS))):
         base = k * _SOURCES
@@ -104,14 +108,9 @@ def meta_view(sources: list, langs: list, sizes: np.ndarray, raw_texts: list[byt
             if at is None:
                 at = known[k, v] = int(_slots([v], width)[0])
             out[i, base + at] = 1
-    lines = np.array([r.count(b"\n") + 1 for r in raw_texts], float)
-    length = np.array([len(r) for r in raw_texts], float)
-    longest = np.array([max(map(len, r.split(b"\n"))) for r in raw_texts], float)
     known_size = ~np.isnan(sizes)
-    out[:, -6] = np.where(known_size, np.log1p(np.where(known_size, np.maximum(sizes, 0), 0)), 0)
-    out[:, -5] = ~known_size
-    out[:, -4], out[:, -3], out[:, -2] = np.log1p(lines), np.log1p(length / lines), np.log1p(longest)
-    out[:, -1] = np.log1p(length)
+    out[:, -2] = np.where(known_size, np.log1p(np.where(known_size, np.maximum(sizes, 0), 0)), 0)
+    out[:, -1] = ~known_size
     return out
 
 
@@ -189,7 +188,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = np.array([np.nan if v is None else v for v in batch.column(4).to_pylist()], float)
         for a, b, lowered in chunks(texts):
             raw = [(t or "").encode("utf-8", "replace") for t in texts[a:b]]
-            t, m = text_view(raw, lowered), meta_view(sources[a:b], langs[a:b], sizes[a:b], raw)
+            t, m = text_view(raw, lowered), meta_view(sources[a:b], langs[a:b], sizes[a:b])
             lists = [pa.ListArray.from_arrays(np.arange(0, v.size + 1, v.shape[1], dtype=np.int32), v.reshape(-1).astype(np.float32)) for v in (t, m)]
             yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), *lists], ["doc_id", "content", "meta"])
 
@@ -227,18 +226,20 @@ def co_train(table: DataFrame, labels: DataFrame, rounds: int = 3, exchange: int
     sample = known.orderBy(order, "doc_id", "y").limit(most_labelled)
     rows = sorted(table.join(sample, "doc_id").select("doc_id", "content", "meta", "y", order.alias("h")).collect(), key=lambda r: (r["h"], r["doc_id"], r["y"]))
     y = np.array([r["y"] for r in rows], float)
-    held = np.array([(r["h"] >> 7) % 10 < 3 for r in rows], bool)
-    enough = len(rows) and all(len(np.unique(y[part])) == 2 for part in (held, ~held))
+    tenth = np.array([(r["h"] >> 7) % 10 for r in rows], int)
+    held, last = tenth < 2, (tenth == 2) | (tenth == 3)
+    train = ~held & ~last
+    enough = len(rows) and all(len(np.unique(y[part])) == 2 for part in (train, held, last))
     if not enough:
         return Model(None, None, np.zeros(2), float(y.mean()) if len(y) else 0.5)
     t, m = _collected(rows)
-    views = [(t[~held], y[~held]), (m[~held], y[~held])]
+    views = [(t[train], y[train]), (m[train], y[train])]
     pool = materialize(table.where("doc_id is not null").join(known.select("doc_id").distinct(), "doc_id", "left_anti"), "pool")
     taken: list[set] = [set(), set()]
 
     def trained() -> Model:
         text, meta = (calibrate(fit_view(*views[k]), x[held], y[held]) for k, x in ((0, t), (1, m)))
-        weights, bias = fit(np.stack((text.logit(t[held]), meta.logit(m[held])), axis=1), y[held], 1e-2)
+        weights, bias = fit(np.stack((text.logit(t[last]), meta.logit(m[last])), axis=1), y[last], 1e-2)
         return Model(text, meta, weights, bias, len(taken[0]) + len(taken[1]))
 
     model = trained()
