@@ -29,9 +29,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shingles import U64, mix
-from .ship import give_back, ship
+from .ship import give_back, received, send, ship
 
-#: Where the vocabulary files of public tokenizers lie by default.
+#: Where the driver has the vocabulary file of a public tokenizer by default; the executors get it from the driver.
 MODEL = os.environ.get("PARLORA_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 N_BEST = 4
 _SPACE, _LITERAL = 0x2581, 0x110001
@@ -337,9 +337,9 @@ def _type(n: int) -> pa.Schema:
     return pa.schema([("doc_id", pa.int64()), ("n_pieces", pa.int32()), ("score", pa.float64()), ("ids", pa.list_(pa.int32())), ("alternatives", pa.list_(other)), ("round_trip", pa.bool_())])
 
 
-def _run(path: str, n: int):
+def _run(name: str, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, schema = codec(path, n), _type(n)
+        own, schema = codec(received(name), n), _type(n)
         for batch in batches:
             doc_ids, texts = batch.column(0), batch.column(1).to_pylist()
             at = 0
@@ -377,15 +377,16 @@ def encode(docs: DataFrame, model: str = MODEL, n: int = N_BEST) -> DataFrame:
     """
     ship(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(_run(model, n), SCHEMA)
+    return source.mapInArrow(_run(send(docs.sparkSession, model), n), SCHEMA)
 
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     """(doc_id, text) of ``encoded`` (doc_id, ids); null ids give a null text."""
     ship(encoded.sparkSession)
+    name = send(encoded.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = codec(model, 1).pieces
+        pieces = codec(received(name), 1).pieces
         for batch in batches:
             texts = [None if x is None else pieces.decode(x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])

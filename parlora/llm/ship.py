@@ -1,4 +1,4 @@
-"""What Arrow functions need on the executors: this package's sources, and memory that is given back."""
+"""What Arrow functions need on the executors: this package's sources, files, and memory that is given back."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ import zipfile
 from pathlib import Path
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import SparkSession
 
 _SENT: set[str] = set()
@@ -34,6 +35,20 @@ def ship(spark: SparkSession) -> None:
     _SENT.add(app)
 
 
+def send(spark: SparkSession, path: str) -> str:
+    """Send a local file of the driver to all executors; the name under which ``received`` finds it there."""
+    name = os.path.basename(path)
+    if (key := f"{spark.sparkContext.applicationId} {path}") not in _SENT:
+        spark.sparkContext.addFile(path)
+        _SENT.add(key)
+    return name
+
+
+def received(name: str) -> str:
+    """The path of a sent file where this runs."""
+    return SparkFiles.get(name)
+
+
 def give_back() -> None:
     """Return freed memory to the system; workers live on between tasks, beside the executor's heap."""
     pa.default_memory_pool().release_unused()

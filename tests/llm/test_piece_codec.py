@@ -5,6 +5,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from parlora.llm.piece_codec import MODEL, apply_edits, codec, decode, encode, n_best
 
+from .conftest import words
+
 
 @pytest.fixture(scope="module")
 def own():
@@ -72,3 +74,17 @@ def test_odd_rows(odd, none):
     empty = [r for r in rows if r["doc_id"] in (4, 5)]
     assert all(r["ids"] == [] and r["score"] == 0 and r["alternatives"] == [] for r in empty)
     assert encode(none).count() == 0
+
+
+def test_long_and_short_units_take_the_same_segmentations(monkeypatch):
+    """Units beyond a length go another way through Viterbi; with the length at 3 all words of the text do."""
+    from parlora.llm import piece_codec as module
+
+    texts = ["  the quick brown foxes jumped over internationalization " + words(40, 4), "x" * 60 + " ééé 🙂 a▁b", "", "aaaa " * 30]
+    one = module.Codec(module.Pieces(), 4).encode(texts)
+    monkeypatch.setattr(module, "_LONG_UNIT", 3)
+    other = module.Codec(module.Pieces(), 4).encode(texts)
+    assert one[0].tolist() == other[0].tolist() and one[1].tolist() == other[1].tolist()
+    assert max(abs(a - b) for a, b in zip(one[2], other[2])) < 1e-4
+    flat = lambda found: [[[(e["start"], e["length"], list(e["ids"])) for e in alt["edits"]] for alt in of] for of in found[3]]
+    assert flat(one) == flat(other)
