@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from .. import schemas as S
+from ..session import ship_sources
 from ..functions import text as T
 
 Client = Callable[[list[str], str], list[list[float]]]
@@ -82,7 +83,7 @@ def embed(messages: DataFrame, client: Client, model: str, run_id: str, most: in
                     rows.append((run_id, r.message_id, r.conversation_id, r.provider, r.author_role, r.created_at, r.sequence_index, model, len(v), r.stored, r.whole, len(r.stored), len(r.stored) < r.whole, None, None, total, built_at, None, None, None, None, [float(x) for x in v]))
                 yield pd.DataFrame(rows, columns=[c.split()[0] for c in _columns()])
 
-    return ready.mapInPandas(run, S.EMBEDDING)
+    return ship_sources(ready).mapInPandas(run, S.EMBEDDING)
 
 
 def _columns() -> list[str]:

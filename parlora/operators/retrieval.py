@@ -144,7 +144,7 @@ def semantic_candidates(vectors: DataFrame, messages: DataFrame, query_vectors:
     allowed = messages.where((filters or Filters()).condition()).select("message_id")
     rows = records.join(allowed, "message_id", "left_semi").where(F.size(T.tokens(F.col("text"))) >= C.SEMANTIC_MIN_TOKENS)
     placed = with_positions(messages).select("message_id", "pos")
-    rows = rows.join(placed, "message_id").crossJoin(F.broadcast(query_vectors)).withColumn("semantic", V.cosine(F.col("vector"), F.col("embedding"))).where("semantic > 0")
+    rows = rows.join(placed, "message_id").crossJoin(query_vectors).withColumn("semantic", V.cosine(F.col("vector"), F.col("embedding"))).where("semantic > 0")
     if restatements:
         rows = rows.join(nearby_user_texts(messages), "message_id", "left").withColumn("restates", restates(T.content_tokens(F.col("text")), F.col("nearby"))).drop("nearby")
     else:

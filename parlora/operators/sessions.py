@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import dates as D
+from ..session import ship_sources
 
 
 def phase_sessions(events: DataFrame, key: str, date: str, days: int = C.PHASE_DAYS) -> DataFrame:
@@ -38,4 +39,4 @@ def temporal_bursts(dated: DataFrame, key: str, date: str, days: int = C.BURST_D
         rows = [(pdf[key].iloc[0], dates[i], dates[j - 1], j - i) for i, j in burst_ranges(dates, days, least)]
         return pd.DataFrame(rows, columns=[key, "first_date", "last_date", "n"])
 
-    return dated.select(key, date).where(F.col(date).isNotNull()).groupBy(key).applyInPandas(scan, f"{key} {kind}, first_date string, last_date string, n int")
+    return ship_sources(dated).select(key, date).where(F.col(date).isNotNull()).groupBy(key).applyInPandas(scan, f"{key} {kind}, first_date string, last_date string, n int")

@@ -10,14 +10,20 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import text as T
+from ..session import ship_sources
 from .index import with_positions
 
 
+def _of_conversations(messages: DataFrame, rows: DataFrame) -> DataFrame:
+    """The messages of the conversations that ``rows`` name, so that no others are sorted."""
+    return messages.join(rows.select("conversation_id").distinct(), "conversation_id", "left_semi").select(*messages.columns)
+
+
 def with_ranges(candidates: DataFrame, messages: DataFrame, radius: int = C.WINDOW_RADIUS) -> DataFrame:
     """Adds the focal ``sequence_index`` and the first and last one of the window, cut at the conversation's ends."""
     frame = Window.partitionBy("conversation_id").orderBy("pos").rowsBetween(-radius, radius)
     seq = F.coalesce("sequence_index", F.lit(0))
-    ranges = with_positions(messages).select("message_id", seq.alias("focal_sequence"), F.first(seq).over(frame).alias("window_start"), F.last(seq).over(frame).alias("window_end"))
+    ranges = with_positions(_of_conversations(messages, candidates)).select("message_id", seq.alias("focal_sequence"), F.first(seq).over(frame).alias("window_start"), F.last(seq).over(frame).alias("window_end"))
     return candidates.join(ranges, "message_id")
 
 
@@ -56,27 +62,27 @@ def greedy_accept(ranked: DataFrame, messages: DataFrame, limit: int, radius: in
     The walk reads a prefix of each query's ranking; the prefix doubles for as long as some query has neither enough
     rows nor seen all of its candidates.
     """
-    total = F.max("rank").over(Window.partitionBy("query_id")).alias("total")
-    ranged = with_ranges(ranked.select("*", total), messages, radius).withColumn("dup_key", duplicate_key(F.col("text")))
+    ship_sources(messages)
     columns = ["query_id", "message_id", "conversation_id", "rank", "focal_sequence", "window_start", "window_end", "dup_key"]
     take = max(64, 16 * limit)
     while True:
-        prefix = ranged.where(F.col("rank") <= take).persist()
+        head = ranked.where(F.col("rank") <= take + 1)
+        prefix = with_ranges(head.where(F.col("rank") <= take), messages, radius).withColumn("dup_key", duplicate_key(F.col("text"))).persist()
         chosen = prefix.select(*columns).groupBy("query_id").applyInPandas(lambda pdf: accepted(pdf, limit), "query_id long, message_id string, result_rank int")
-        long = prefix.where(F.col("total") > take).groupBy("query_id").agg(F.first("total").alias("t"))
-        got = chosen.groupBy("query_id").agg(F.count("*").alias("got"))
-        if not (long.take(1) and long.join(got, "query_id").where(F.col("got") < max(1, limit)).take(1)):
+        # A query with a row beyond the prefix has more candidates; one with too few rows then needs them.
+        short = prefix.groupBy("query_id").agg(F.max("rank").alias("last")).where(F.col("last") == take).join(chosen.groupBy("query_id").agg(F.count("*").alias("got")), "query_id").where(F.col("got") < max(1, limit))
+        if not short.take(1) or not head.where(F.col("rank") > take).join(short, "query_id", "left_semi").take(1):
             break
         prefix.unpersist()
         take *= 2
-    out = prefix.join(chosen, ["query_id", "message_id"]).drop("dup_key", "total")
+    out = prefix.join(chosen, ["query_id", "message_id"]).drop("dup_key")
     weakref.finalize(out, prefix.unpersist)  # what is read later is computed again
     return out
 
 
 def context_windows(accepted_rows: DataFrame, messages: DataFrame, radius: int = C.WINDOW_RADIUS, run_id: str = "run", conversations: DataFrame | None = None) -> DataFrame:
     """Adds ``messages``, the ordered messages of the window, and ``result_id``; rows without a conversation go."""
-    near = with_positions(messages).select(F.col("conversation_id").alias("c"), F.col("pos").alias("p"), F.struct(*[c for c in messages.columns]).alias("m"))
+    near = with_positions(_of_conversations(messages, accepted_rows)).select(F.col("conversation_id").alias("c"), F.col("pos").alias("p"), F.struct(*[c for c in messages.columns]).alias("m"))
     focal = accepted_rows.withColumn("at", F.explode(F.sequence(F.greatest(F.col("pos") - radius, F.lit(0)), F.col("pos") + radius)))
     joined = focal.join(near, (F.col("conversation_id") == F.col("c")) & (F.col("at") == F.col("p")))
     windows = joined.groupBy("query_id", "message_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "m"))), lambda x: x["m"]).alias("messages"))

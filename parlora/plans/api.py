@@ -17,6 +17,7 @@ from . import evaluate as V
 from . import evidence as E
 from . import narrative as N
 from . import patterns as P
+from ..session import ship_sources
 from . import router
 
 
@@ -122,4 +123,4 @@ def answers_table(engine: Engine, queries: DataFrame, limit: int = 8, cap: int =
                 out.append((r.query_id, a.status, a.text))
             yield pd.DataFrame(out, columns=["query_id", "status", "answer"])
 
-    return joined.select("query_id", "query", "w").mapInPandas(run, "query_id long, status string, answer string")
+    return ship_sources(joined).select("query_id", "query", "w").mapInPandas(run, "query_id long, status string, answer string")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -17,6 +19,7 @@ from ..operators import quality as Q
 from ..operators import retrieval as R
 from ..operators import sessions as S
 from ..operators import windows as W
+from ..session import shared_folder, ship_sources
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -57,6 +60,19 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_INDEXES: dict[tuple[str, str, str], str] = {}
+
+
+def _index(spark: SparkSession, sf_dir: str, source: Query = messages) -> I.Index:
+    """The index of a table, stored at first use as the engine does, and read from there by all queries."""
+    key = (spark.sparkContext.applicationId, sf_dir, source.__name__)
+    if key not in _INDEXES:
+        path = f"{shared_folder(spark)}/parlora/index-{uuid.uuid4().hex}"
+        I.build_index(source(spark, sf_dir)).save(path)
+        _INDEXES[key] = path
+    return I.Index.load(spark, _INDEXES[key])
+
+
 def document_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as messages of a conversation for each source."""
     raw = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -104,20 +120,20 @@ VOICE_SQL = f"CASE WHEN author_role = 'user' THEN {C.USER_VOICE} ELSE {C.OTHER_V
 
 @_query(f"WITH {M_SQL} SELECT count(*) AS n, round(avg(len(toks)), 6) AS avgdl, count(*) FILTER (WHERE len(toks) = 0) AS n_empty FROM m")
 def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = I.build_index(messages(spark, sf_dir)).docs
+    docs = _index(spark, sf_dir).docs
     return docs.agg(F.count("*").alias("n"), F.round(F.avg("length"), 6).alias("avgdl"), F.count_if(F.col("length") == 0).alias("n_empty"))
 
 
 @_query(f"""WITH {M_SQL}, post AS (SELECT message_id, unnest(toks) AS term FROM m)
 SELECT term, count(DISTINCT message_id) AS df, count(*) AS cf FROM post GROUP BY term""")
 def term_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = I.build_index(messages(spark, sf_dir))
+    index = _index(spark, sf_dir)
     return index.postings.groupBy("term").agg(F.sum("tf").alias("cf")).join(index.terms, "term").select("term", "df", "cf")
 
 
 @_query(bm25_sql(M_SQL) + " SELECT message_id, round(bm25, 6) AS bm25 FROM bm25 ORDER BY round(bm25, 6) DESC, message_id LIMIT 25")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = I.build_index(messages(spark, sf_dir))
+    index = _index(spark, sf_dir)
     scores = R.bm25_scores(index, R.one_query(spark, " ".join(TERMS)))
     return scores.select("message_id", _r6("bm25")).orderBy(F.desc("bm25"), "message_id").limit(25)
 
@@ -125,14 +141,14 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(bm25_sql(M_SQL) + f" SELECT message_id, author_role, round(bm25 * {VOICE_SQL}, 6) AS score FROM bm25 JOIN m USING (message_id)")
 def bm25_voice(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = messages(spark, sf_dir)
-    rows = R.lexical_candidates(I.build_index(found), found, R.one_query(spark, " ".join(TERMS)), restatements=False)
+    rows = R.lexical_candidates(_index(spark, sf_dir), found, R.one_query(spark, " ".join(TERMS)), restatements=False)
     return rows.select("message_id", "author_role", _r6("score"))
 
 
 @_query(bm25_sql(M_SQL) + f" SELECT message_id, round(bm25 * {VOICE_SQL}, 6) AS score FROM bm25 JOIN m USING (message_id) WHERE author_role = 'assistant'")
 def bm25_filtered_role(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = messages(spark, sf_dir)
-    rows = R.lexical_candidates(I.build_index(found), found, R.one_query(spark, " ".join(TERMS)), R.Filters(author_role="assistant"), restatements=False)
+    rows = R.lexical_candidates(_index(spark, sf_dir), found, R.one_query(spark, " ".join(TERMS)), R.Filters(author_role="assistant"), restatements=False)
     return rows.select("message_id", _r6("score"))
 
 
@@ -141,7 +157,7 @@ FROM (SELECT *, CASE WHEN contains(array_to_string(toks, ' '), 'of the') THEN {C
 WHERE coalesce(bm25, 0) > 0 OR p > 0""")
 def phrase_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = messages(spark, sf_dir)
-    rows = R.lexical_candidates(I.build_index(found), found, R.one_query(spark, SEARCH), restatements=False)
+    rows = R.lexical_candidates(_index(spark, sf_dir), found, R.one_query(spark, SEARCH), restatements=False)
     return rows.select("message_id", _r6("bm25"), _r6("phrase_boost"), _r6("score"))
 
 
@@ -150,17 +166,21 @@ round((bm25 + CASE WHEN conversation_id = 'src7' THEN {C.TITLE_BOOST} ELSE 0 END
 def title_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = document_messages(spark, sf_dir)
     titles = found.select("conversation_id", F.col("conversation_id").alias("title")).distinct()
-    rows = R.lexical_candidates(I.build_index(found), found, R.one_query(spark, "the src7"), conversations=titles, restatements=False)
+    rows = R.lexical_candidates(_index(spark, sf_dir, document_messages), found, R.one_query(spark, "the src7"), conversations=titles, restatements=False)
     return rows.select("message_id", _r6("title_boost"), _r6("score"))
 
 
-_META = ["Sure, let me look", "  I've updated the file", "I have updated it", "Great question! Yes", "of course not", "Of course, yes", ""]
+_META_SQL = f"len(list_filter({_words(C.META_PREFIXES)}, lambda p: starts_with(ltrim(lower(left(text, 80))), p))) > 0"
+_LEADS = ("", "Sure, let me look. ", "  I've updated it: ", *(f"{p} " for p in sorted(C.META_PREFIXES)[::5]))
+_LED_SQL = f"led AS (SELECT conv_id, turn, role AS author_role, {'[' + ', '.join(chr(39) + p.replace(chr(39), chr(39) * 2) + chr(39) for p in _LEADS) + ']'}[CAST((conv_id + turn) % {len(_LEADS)} + 1 AS BIGINT)] || text AS text FROM conversations)"
 
 
-@_query("SELECT * FROM (VALUES (0, true), (1, true), (2, false), (3, true), (4, false), (5, true), (6, false)) t(i, meta)")
+@_query(f"WITH {_LED_SQL} SELECT conv_id, turn, {_META_SQL} AS meta, round({VOICE_SQL} * CASE WHEN author_role = 'assistant' AND {_META_SQL} THEN {C.META_FACTOR} ELSE 1 END, 6) AS voice FROM led")
 def meta_commentary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(list(enumerate(_META)), "i int, text string")
-    return rows.select("i", T.meta_commentary(F.col("text")).alias("meta"))
+    raw = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    lead = F.element_at(F.array(*map(F.lit, _LEADS)), (F.pmod(F.col("conv_id") + F.col("turn"), F.lit(len(_LEADS))) + 1).cast("int"))
+    text = F.concat(lead, "text")
+    return raw.select("conv_id", "turn", T.meta_commentary(text).alias("meta"), F.round(T.voice_factor(F.col("role"), text), 6).alias("voice"))
 
 
 _CT_SQL = f"""list_filter(list_distinct(string_split_regex(regexp_replace(lower(text), '[!-/:-@\\[-`{{-~]', '', 'g'), '\\s+')),
@@ -236,19 +256,47 @@ FROM top t JOIN m f USING (message_id) JOIN m o ON o.conversation_id = f.convers
 GROUP BY ALL""")
 def context_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = messages(spark, sf_dir)
-    rows = R.lexical_candidates(I.build_index(found), found, R.one_query(spark, " ".join(TERMS)), restatements=False)
+    rows = R.lexical_candidates(_index(spark, sf_dir), found, R.one_query(spark, " ".join(TERMS)), restatements=False)
     ranked = R.apply_mode(rows.withColumn("score", F.round("score", 6)), "relevance").where("rank <= 10")
     windows = W.context_windows(W.with_ranges(ranked, found), found)
     return windows.select("message_id", "rank", "score", "window_start", "window_end", F.size("messages").cast("long").alias("n_messages"))
 
 
-@_query()
+_ASKED = (SEARCH, "the and with", "le de la", "absentword")
+_ASKED_SQL = ", ".join(f"({k}, '{t}')" for k, q in enumerate(_ASKED) for t in dict.fromkeys(re.findall("[a-z0-9]+", q.lower())))
+_SEARCH_SQL = f"""WITH RECURSIVE {M_SQL},
+asked AS (SELECT * FROM (VALUES {_ASKED_SQL}) t(q, term)),
+stats AS (SELECT count(*) AS n, avg(len(toks)) AS avgdl FROM m),
+post AS (SELECT message_id, len(toks) AS dl, unnest(toks) AS term FROM m),
+tf AS (SELECT message_id, dl, term, count(*) AS tf FROM post GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+bm AS (SELECT q, message_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * {C.BM25_K1 + 1} / (tf + {C.BM25_K1} * ({1 - C.BM25_B} + {C.BM25_B} * dl / avgdl))) AS bm25
+  FROM tf JOIN df USING (term) JOIN asked USING (term) CROSS JOIN stats GROUP BY ALL),
+phrase AS (SELECT 0 AS q, message_id, {C.PHRASE_BOOST} AS p FROM m WHERE contains(array_to_string(toks, ' '), 'of the')),
+w AS (SELECT *, {_CT_SQL} AS words FROM m),
+told AS (SELECT DISTINCT a.message_id FROM w a JOIN w b ON a.conversation_id = b.conversation_id AND b.pos BETWEEN a.pos - {C.RESTATEMENT_RADIUS} AND a.pos + {C.RESTATEMENT_RADIUS} AND b.pos <> a.pos
+  WHERE b.author_role = 'user' AND len(a.words) > 0 AND len(b.words) > 0 AND len(list_intersect(a.words, b.words)) / len(a.words) >= {C.RESTATEMENT_SHARE}),
+scored AS (SELECT q, m.*, round((coalesce(bm25, 0) + coalesce(p, 0)) * {VOICE_SQL} * CASE WHEN author_role = 'assistant' AND {_META_SQL} THEN {C.META_FACTOR} ELSE 1 END
+    * CASE WHEN author_role = 'assistant' AND message_id IN (SELECT message_id FROM told) THEN {C.RESTATEMENT_FACTOR} ELSE 1 END, 6) AS score
+  FROM bm FULL JOIN phrase USING (q, message_id) JOIN m USING (message_id)),
+near AS (SELECT f.message_id, min(o.sequence_index) AS a, max(o.sequence_index) AS b FROM m f JOIN m o ON o.conversation_id = f.conversation_id AND o.pos BETWEEN f.pos - {C.WINDOW_RADIUS} AND f.pos + {C.WINDOW_RADIUS} GROUP BY ALL),
+ranked AS (SELECT q, message_id, conversation_id, sequence_index AS seq, score, a, b, row_number() OVER (PARTITION BY q ORDER BY score DESC, message_id) AS r,
+    CASE WHEN length(array_to_string(toks, ' ')) >= {C.DUP_PREFIX} THEN left(array_to_string(toks, ' '), {C.DUP_PREFIX}) END AS k FROM scored JOIN near USING (message_id)),
+walk AS (SELECT DISTINCT q, CAST(0 AS BIGINT) AS r, CAST([] AS STRUCT(c VARCHAR, a INTEGER, b INTEGER)[]) AS spans, CAST([] AS VARCHAR[]) AS keys, 0 AS n, false AS taken FROM ranked
+  UNION ALL SELECT x.q, x.r, CASE WHEN free AND fresh THEN list_append(w.spans, {{'c': x.conversation_id, 'a': x.a, 'b': x.b}}) ELSE w.spans END,
+    CASE WHEN free AND fresh AND x.k IS NOT NULL THEN list_append(w.keys, x.k) ELSE w.keys END, w.n + (free AND fresh)::INT, free AND fresh
+  FROM walk w JOIN (SELECT * FROM ranked) x ON x.q = w.q AND x.r = w.r + 1
+  CROSS JOIN LATERAL (SELECT len(list_filter(w.spans, lambda s: s.c = x.conversation_id AND x.seq BETWEEN s.a AND s.b)) = 0 AS free, x.k IS NULL OR NOT list_contains(w.keys, x.k) AS fresh) WHERE w.n < 8)
+SELECT q AS query_id, n AS result_rank, message_id, 'run:' || message_id || ':' || a || ':' || b AS result_id, score FROM walk JOIN ranked USING (q, r) WHERE taken"""
+
+
+@_query(_SEARCH_SQL)
 def search_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = messages(spark, sf_dir)
-    queries = R.parse_queries(spark.createDataFrame([(0, SEARCH), (1, "the and with"), (2, "le de la"), (3, "absentword")], "query_id long, query string"))
-    ranked = R.apply_mode(R.lexical_candidates(I.build_index(found), found, queries), "relevance")
-    windows = W.context_windows(W.greedy_accept(ranked, found, 8), found)
-    return windows.select("query_id", "result_rank", "message_id", "result_id", _r6("score"))
+    queries = R.parse_queries(spark.createDataFrame(list(enumerate(_ASKED)), "query_id int, query string"))
+    rows = R.lexical_candidates(_index(spark, sf_dir), found, queries).withColumn("score", F.round("score", 6))
+    windows = W.context_windows(W.greedy_accept(R.apply_mode(rows, "relevance"), found, 8), found)
+    return windows.select("query_id", "result_rank", "message_id", "result_id", "score")
 
 
 @_query(f"""SELECT doc_id, row_number() OVER (PARTITION BY k ORDER BY doc_id) > 1 AS repeats FROM (
@@ -303,7 +351,7 @@ def hybrid_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, query = _vector_query(spark, sf_dir, 3)
     records = rows.select(F.concat(F.lit("d"), "vec_id").alias("message_id"), "embedding").join(found, "message_id").withColumn("embedding_model", F.lit("m"))
     records = records.withColumn("embedding", F.transform("embedding", lambda x: x.cast("double")))
-    lexical = R.lexical_candidates(I.build_index(found), found, R.one_query(spark, " ".join(TERMS)), restatements=False)
+    lexical = R.lexical_candidates(_index(spark, sf_dir, document_messages), found, R.one_query(spark, " ".join(TERMS)), restatements=False)
     semantic = R.semantic_candidates(records, found, query, "m", 50, restatements=False)
     merged = R.hybrid_merge(lexical, semantic)
     return merged.select("message_id", F.array_join("sources", "+").alias("sources"), F.round("score", 5).alias("score"))
@@ -452,14 +500,20 @@ def temporal_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- normalization --------------------------------------------------------------------------------------------------
 
-_STAMPS = ["0", "1700000000.25", " 2024-03-01T10:00:00Z ", "2024-03-01T10:00:00+02:00", "2024-03-01T10:00:00.5", "", None]
+@_query("""SELECT event_id, strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%SZ') AS seconds, strftime(date_trunc('second', ts) - INTERVAL 90 MINUTE, '%Y-%m-%dT%H:%M:%SZ') AS shifted FROM events""")
+def canonical_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Epoch numbers and zoned stamps of events, as exports write them, through the mapping of the readers."""
+    raw = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("s"), F.unix_timestamp(F.col("ts").cast("timestamp")).cast("string").alias("epoch"))
 
+    def run(frames):
+        import pandas as pd
 
-@_query("""SELECT * FROM (VALUES (0, '1970-01-01T00:00:00Z'), (1, '2023-11-14T22:13:20.250000Z'), (2, '2024-03-01T10:00:00Z'),
-(3, '2024-03-01T08:00:00Z'), (4, '2024-03-01T10:00:00.500000Z'), (5, NULL), (6, NULL)) t(i, stamp)""")
-def canonical_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(list(enumerate(_STAMPS)), "i int, raw string")
-    return rows.select("i", D.canonical_time(F.col("raw")).alias("stamp"))
+        from ..sources.exports import canonical_time
+
+        for pdf in frames:
+            yield pd.DataFrame({"event_id": pdf["event_id"], "seconds": [canonical_time(float(x)) for x in pdf["epoch"]], "shifted": [canonical_time(f"{x}+01:30") for x in pdf["s"]]})
+
+    return ship_sources(raw).mapInPandas(run, "event_id long, seconds string, shifted string")
 
 
 @_query("""WITH RECURSIVE node AS (SELECT conv_id, 'n' || turn AS id, CASE WHEN turn > 0 THEN 'n' || (turn - 1) END AS parent FROM conversations),
@@ -480,12 +534,16 @@ def visible_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
         return pd.DataFrame({"conv_id": pdf["conv_id"].iloc[0], "node_id": [n for n, _, _ in chain], "sequence_index": range(len(chain))})
 
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn")
-    return rows.groupBy("conv_id").applyInPandas(walk, "conv_id long, node_id string, sequence_index int")
+    return ship_sources(rows).groupBy("conv_id").applyInPandas(walk, "conv_id long, node_id string, sequence_index int")
 
 
 def queries() -> dict[str, Query]:
+    from . import registry_plans  # noqa: F401
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import registry_plans  # noqa: F401
+
     return dict(SQL)

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas as S
+from ..session import ship_sources
 from ..functions.local import blank_to_none
 
 GRAPH, FLAT = "chatgpt", "claude"
@@ -210,7 +211,7 @@ def _mapped(mapper: Callable, root: str, which: int):
 
 def _tables(spark: SparkSession, paths: list[str], mapper: Callable, root: str) -> tuple[DataFrame, DataFrame]:
     files = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    raw = files.mapInPandas(_split, "path string, ordinal long, raw string").repartition("path", "ordinal")
+    raw = ship_sources(files).mapInPandas(_split, "path string, ordinal long, raw string").repartition("path", "ordinal")
     tables = []
     for which, schema in ((0, S.CONVERSATION), (1, S.MESSAGE)):
         rows = raw.mapInPandas(_mapped(mapper, root, which), "row string")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions import text as T
+from ..session import ship_sources
 from . import exports as X
 
 
@@ -33,7 +34,7 @@ def _sorted(df: DataFrame) -> DataFrame:
 def write_jsonl(df: DataFrame, path: str) -> None:
     """One JSON object a line with sorted keys and ASCII escapes, nulls kept."""
     escaped = F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"})
-    df.select(escaped.alias("value")).mapInPandas(_ascii, "value string").write.mode("errorifexists").text(path)
+    ship_sources(df).select(escaped.alias("value")).mapInPandas(_ascii, "value string").write.mode("errorifexists").text(path)
 
 
 def _ascii(frames):
