@@ -15,21 +15,21 @@ SUPPORTED, PARTIAL, AMBIGUOUS, INSUFFICIENT = "supported", "partially_supported"
 
 _FOUND = "Relevant retrieval candidates were found, "
 _GAPS = {
-    "none": "No relevant retrieval evidence " "was available for this question.",
-    "weak": "The retrieved evidence was too weak " "or too indirect to support an answer.",
-    "composed": "Support is distributed across multiple " "nearby excerpts within one " "retrieved conversation window.",
-    "possessive": "The retrieved evidence does not support " "the combined query concept directly.",
-    "single": "Only one strong evidence item " "was available for this question.",
-    "thin": "The retrieved evidence is relevant " "but too thin for a fully " "supported answer.",
-    "found_composed": _FOUND + "but the composed support stayed " "too weak to justify a grounded answer.",
-    "found_combined": _FOUND + "but none directly supported the full " "combined query concept " "after evidence qualification.",
-    "found": _FOUND + "but none met the evidence " "qualification rules for this question.",
+    "none": "No relevant retrieval evidence was available for this question.",
+    "weak": "The retrieved evidence was too weak or too indirect to support an answer.",
+    "composed": "Support is distributed across multiple nearby excerpts within one retrieved conversation window.",
+    "possessive": "The retrieved evidence does not support the combined query concept directly.",
+    "single": "Only one strong evidence item was available for this question.",
+    "thin": "The retrieved evidence is relevant but too thin for a fully supported answer.",
+    "found_composed": _FOUND + "but the composed support stayed too weak to justify a grounded answer.",
+    "found_combined": _FOUND + "but none directly supported the full combined query concept after evidence qualification.",
+    "found": _FOUND + "but none met the evidence qualification rules for this question.",
 }
 _TEXTS = {
-    INSUFFICIENT: "I did not find enough relevant " "evidence in this run to " "answer that question confidently.",
-    "empty": "Based on the retrieved conversation " "evidence, the available support is " "limited but relevant.",
-    AMBIGUOUS: "The retrieved evidence is mixed. " "Conflicting relevant excerpts include ",
-    PARTIAL: "The retrieved evidence only partially " "answers the question. ",
+    INSUFFICIENT: "I did not find enough relevant evidence in this run to answer that question confidently.",
+    "empty": "Based on the retrieved conversation evidence, the available support is limited but relevant.",
+    AMBIGUOUS: "The retrieved evidence is mixed. Conflicting relevant excerpts include ",
+    PARTIAL: "The retrieved evidence only partially answers the question. ",
     "one": 'The strongest relevant excerpt says "',
     "many": "The most relevant excerpts are:",
     SUPPORTED: "Based on the retrieved evidence",
@@ -298,6 +298,6 @@ def check_written(text: str, ids: tuple[str, ...], query: str, items: tuple[E.Ev
     words = [i.excerpt.lower().split() for i in items]
     lowered = text.lower()
     if items and not any(" ".join(w[k : k + 4]) in lowered for w in words for k in range(len(w) - 3)):
-        failures.append("no_evidence_grounding: answer does not contain any 4-word " "sequence from evidence excerpts")
+        failures.append("no_evidence_grounding: answer does not contain any 4-word sequence from evidence excerpts")
         soft = True
     return ("valid" if not failures else "degraded" if soft and not hard else "invalid"), failures

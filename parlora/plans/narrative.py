@@ -184,7 +184,7 @@ def limitations(items: list[E.Evidence]) -> list[Limitation]:
         if len(i.excerpt) >= 195:
             out.append(Limitation(f"Evidence {i.id} excerpt is truncated at ~200 characters", "truncated_excerpt"))
         if len(i.created_at or "") < 10:
-            once("null_timestamp", "One or more evidence items lack timestamps; " "chronological ordering may be unreliable")
+            once("null_timestamp", "One or more evidence items lack timestamps; chronological ordering may be unreliable")
             continue
         date = L.date_of(i.created_at)
         if date and date == previous:
