@@ -73,7 +73,7 @@ def retrieve(a) -> None:
     if a.channel != "bm25":
         spark = engine.spark
         vector = _client(a.client)([a.query], a.model)[0]
-        channel |= {"vectors": spark.read.parquet(f"{a.run}/embeddings"), "model": a.model, "query_vectors": spark.createDataFrame([(0, [float(x) for x in vector])], "query_id long, vector array<double>")}
+        channel |= {"vectors": B.read_embeddings(spark, f"{a.run}/embeddings"), "model": a.model, "query_vectors": spark.createDataFrame([(0, [float(x) for x in vector])], "query_id long, vector array<double>")}
     if a.mode == "timeline":
         if a.channel != "bm25":
             raise ValueError("a timeline is lexical")

@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as C
@@ -86,6 +86,34 @@ def embed(messages: DataFrame, client: Client, model: str, run_id: str, most: in
     return ship_sources(ready).mapInPandas(run, S.EMBEDDING)
 
 
+def with_defaults(records: DataFrame) -> DataFrame:
+    """Embedding records with every column of the schema: missing or blank values take their defaults.
+
+    A record without a vector fails the query. Dimensions default to the vector's length, text lengths to the text's.
+    """
+    kinds = dict(c.split() for c in _columns())
+    have = lambda n: F.col(n) if n in records.columns else F.lit(None)
+    text = lambda n: T.blank_to_null(have(n).cast("string"))
+    vector = have("embedding").cast("array<double>")
+    length = F.length(F.coalesce(text("text"), F.lit("")))
+    of = {n: text(n) if k == "string" else have(n).cast(k) for n, k in kinds.items()}
+    for n in ("run_id", "message_id", "conversation_id", "embedding_model", "text"):
+        of[n] = F.coalesce(of[n], F.lit(""))
+    of["provider"] = F.coalesce(of["provider"], F.lit("unknown"))
+    of["sequence_index"] = F.coalesce(of["sequence_index"], F.lit(0))
+    of["embedding_dimensions"] = F.coalesce(of["embedding_dimensions"], F.size(vector))
+    for n in ("original_text_length", "stored_text_length"):
+        of[n] = F.coalesce(of[n], length)
+    of["truncation_occurred"] = F.coalesce(of["truncation_occurred"], F.lit(False))
+    of["embedding"] = F.when(vector.isNull(), F.raise_error(F.concat(F.lit("no vector for message "), of["message_id"])).cast("array<double>")).otherwise(vector)
+    return records.select(*[of[n].alias(n) for n in kinds])
+
+
+def read_embeddings(spark: SparkSession, path: str) -> DataFrame:
+    """The records stored at ``path``, Parquet or JSONL (a file whose name ends so), with defaults."""
+    return with_defaults(spark.read.json(path) if path.endswith((".jsonl", ".json")) else spark.read.parquet(path))
+
+
 def _columns() -> list[str]:
     return [c.strip() for c in S.EMBEDDING.split(",")]
 

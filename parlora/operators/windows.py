@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import weakref
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import text as T
-from ..session import ship_sources
+from ..session import ship_sources, stored
 from .index import with_positions
 
 
@@ -59,7 +57,7 @@ def accepted(pdf: pd.DataFrame, limit: int) -> pd.DataFrame:
 def greedy_accept(ranked: DataFrame, messages: DataFrame, limit: int, radius: int = C.WINDOW_RADIUS) -> DataFrame:
     """The first ``limit`` acceptable rows of each query, with their range and ``result_rank``.
 
-    The walk reads a prefix of each query's ranking; the prefix doubles for as long as some query has neither enough
+    The rows are few and are stored, so what follows doesn't search again. The walk reads a prefix of each query's ranking; the prefix doubles for as long as some query has neither enough
     rows nor seen all of its candidates.
     """
     ship_sources(messages)
@@ -75,8 +73,8 @@ def greedy_accept(ranked: DataFrame, messages: DataFrame, limit: int, radius: in
             break
         prefix.unpersist()
         take *= 2
-    out = prefix.join(chosen, ["query_id", "message_id"]).drop("dup_key")
-    weakref.finalize(out, prefix.unpersist)  # what is read later is computed again
+    out = stored(prefix.join(chosen, ["query_id", "message_id"]).drop("dup_key"), "accepted")
+    prefix.unpersist()
     return out
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from ..operators import explain as X
 from ..operators import index as I
 from ..operators import retrieval as R
 from ..operators import windows as W
@@ -47,12 +48,14 @@ class Engine:
         return semantic if channel == "semantic" else R.hybrid_merge(lexical, semantic)
 
     def search(self, queries: DataFrame, mode: str = "relevance", limit: int = 8, radius: int = C.WINDOW_RADIUS, **channel) -> DataFrame:
-        """Context windows of ``queries(query_id, query)``, with ``result_rank``."""
+        """Context windows of ``queries(query_id, query)``, with ``result_rank``, ``match_basis`` and ``provenance``."""
         if mode not in R.WINDOW_MODES:
             raise ValueError(f"no window mode {mode!r}")
-        ranked = R.apply_mode(self.candidates(R.parse_queries(queries), limit=limit, **channel), mode)
-        kept = W.greedy_accept(ranked, self.run.messages, limit, radius)
-        return W.context_windows(kept, self.run.messages, radius, self.run.run_id, self.run.conversations)
+        parsed = R.parse_queries(queries)
+        ranked = R.apply_mode(self.candidates(parsed, limit=limit, **channel), mode)
+        kept = X.explained(W.greedy_accept(ranked, self.run.messages, limit, radius), parsed, self.index, mode, channel.get("channel", "bm25"), channel.get("filters"))
+        windows = W.context_windows(kept, self.run.messages, radius, self.run.run_id, self.run.conversations)
+        return X.with_provenance(windows, self.run.conversations, self.run.path)
 
     def timeline(self, queries: DataFrame, limit: int = 8, filters: R.Filters | None = None) -> DataFrame:
         """Matching messages of ``queries``, oldest first."""

@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..functions import local as L
 from ..functions import text as T
+from ..operators import embeddings as V
+from ..operators import explain as X
+from ..operators import retrieval as R
 from . import batch as B
-from .registry import _ENT_SQL, _EXCERPT_SQL, _TERM_SQL, _query
+from .registry import _ENT_SQL, _EXCERPT_SQL, _TERM_SQL, M_SQL, SEARCH, TERMS, VOICE_SQL, _index, _query, bm25_sql, messages
 
 ASKED = "what did dans do about the mentle"
 TIED = "the dans's mentle"
@@ -122,6 +125,36 @@ def rejection_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("query_id", "message_id", F.array_join("missing", " ").alias("missing"), F.array_join("reasons", " ").alias("reasons"))
 
 
+# --- payload of a hit, stored vectors -------------------------------------------------------------------------------
+
+
+@_query(bm25_sql(M_SQL) + f""", hit AS (SELECT m.*, bm25, coalesce(p, 0) AS p, p IS NOT NULL AS held FROM m LEFT JOIN bm25 USING (message_id)
+  LEFT JOIN (SELECT message_id, {C.PHRASE_BOOST} AS p FROM m WHERE contains(array_to_string(toks, ' '), 'of the')) USING (message_id) WHERE bm25 IS NOT NULL OR p IS NOT NULL),
+named AS (SELECT message_id, string_agg(DISTINCT term, ' ' ORDER BY term) AS matched FROM tf WHERE term IN ({', '.join(f"'{t}'" for t in TERMS)}) GROUP BY ALL)
+SELECT message_id, matched, len(toks) AS document_length, round(avgdl, 6) AS average_document_length, round(bm25, 6) AS bm25_score, held AS exact_phrase_match, round(p, 6) AS exact_phrase_boost,
+  round((coalesce(bm25, 0) + p) * {VOICE_SQL}, 6) AS final_score, 'created_at_desc' AS basis, CASE WHEN length(trim(text)) > 160 THEN left(trim(text), 157) || '...' ELSE trim(text) END AS excerpt
+FROM hit JOIN named USING (message_id) CROSS JOIN stats""")
+def explained_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, index, parsed = messages(spark, sf_dir), _index(spark, sf_dir), R.one_query(spark, SEARCH)
+    rows = R.apply_mode(R.lexical_candidates(index, found, parsed, restatements=False), "newest")
+    b = F.col("match_basis.scoring_features")
+    return X.explained(rows, parsed, index, "newest").where("size(matched) > 0").select(
+        "message_id", F.array_join("match_basis.matched_text_terms", " ").alias("matched"), b["document_length"].cast("long").alias("document_length"), b["average_document_length"].alias("average_document_length"), b["bm25_score"].alias("bm25_score"),
+        b["exact_phrase_match"].alias("exact_phrase_match"), F.round(b["exact_phrase_boost"], 6).alias("exact_phrase_boost"), b["final_score"].alias("final_score"), b["chronological_rank_basis"].alias("basis"), F.col("match_basis.focal_match_excerpt").alias("excerpt"),
+    )
+
+
+@_query("""SELECT 'v' || vec_id AS message_id, CASE WHEN vec_id % 2 = 0 THEN 'p' ELSE 'unknown' END AS provider, CASE WHEN vec_id % 3 = 0 THEN 7 ELSE 64 END AS embedding_dimensions, text,
+  length(text) AS stored_text_length, 0 AS sequence_index, false AS truncation_occurred, round(list_sum(CAST(embedding AS DOUBLE[])), 4) AS total
+FROM (SELECT *, CASE WHEN vec_id % 5 = 0 THEN '' ELSE 'label ' || label END AS text FROM embeddings)""")
+def embedding_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    bare = raw.select(F.concat(F.lit("v"), "vec_id").alias("message_id"), F.when(F.col("vec_id") % 2 == 0, "p").otherwise(" ").alias("provider"), F.when(F.col("vec_id") % 3 == 0, 7).alias("embedding_dimensions"), F.when(F.col("vec_id") % 5 != 0, F.concat(F.lit("label "), "label")).alias("text"), "embedding")
+    rows = V.with_defaults(bare)
+    total = F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 4).alias("total")
+    return rows.select("message_id", "provider", "embedding_dimensions", "text", F.col("stored_text_length").cast("long").alias("stored_text_length"), "sequence_index", "truncation_occurred", total)
+
+
 # --- narratives -----------------------------------------------------------------------------------------------------
 
 TOLD = "what happened with the mentle"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -45,3 +46,13 @@ def shared_folder(spark: SparkSession) -> str:
     if app not in _FOLDERS:
         _FOLDERS[app] = "file://" + tempfile.mkdtemp(prefix="parlora-")
     return _FOLDERS[app]
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder, until the application ends, and read from there."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/parlora/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return spark.read.schema(df.schema).parquet(path)

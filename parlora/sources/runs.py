@@ -25,6 +25,7 @@ class Run:
     messages: DataFrame
     all_messages: DataFrame
     manifest: dict
+    path: str = ""
 
 
 def _sorted(df: DataFrame) -> DataFrame:
@@ -110,7 +111,7 @@ def load_run(spark: SparkSession, path: str) -> Run:
     named = lambda c: T.blank_to_null(F.col(c)).isNotNull()
     conversations = tables[0].where(named("conversation_id"))
     every = tables[1].where(named("message_id") & named("conversation_id")).withColumn("sequence_index", F.coalesce("sequence_index", F.lit(0)))
-    return Run(T_run_id(manifest, root), conversations, last_of_each(every), every, manifest)
+    return Run(T_run_id(manifest, root), conversations, last_of_each(every), every, manifest, str(root))
 
 
 def T_run_id(manifest: dict, root: Path) -> str:
