@@ -5,6 +5,7 @@ import pytest
 from parlora.llm.registry import oracle_sql, queries
 from parlora.llm.scratch import materialize
 
+from .conftest import words
 from .test_near_dup import brute
 
 
@@ -55,3 +56,16 @@ def test_odd_rows(spark, request, which, data):
         kept = materialize(stage(spark, kept, data), name)
         assert kept.columns == columns
     assert corpus_pipeline.STAGES[-1][1](spark, kept, data).count() == kept.count()
+
+
+def test_stages_keep_columns_of_the_names_used_inside(spark):
+    names = ("__doc", "__sha", "__gone", "__source", "__tokens", "__copies", "__v", "__row", "__n", "rep", "k1", "leader", "kind", "n", "winner", "first")
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names)
+    texts = {**{i: words(60, i) for i in range(1, 12)}, 40: words(60, 1), 41: words(60, 2) + " end", 42: None, 43: ""}
+    docs = spark.createDataFrame([(d, t, "en", "s0", 1, *names) for d, t in texts.items()], schema)
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns
+        kept[name] = {r["doc_id"] for r in out.collect()}
+    assert kept["exact_dedup"] == set(texts) - {40} and kept["near_dedup"] == set(texts) - {40, 41} and kept["source_mixing"] == set(texts)
