@@ -8,9 +8,10 @@ pattern also needs the share ``trust`` of all its strings, labelled or not. Patt
 Seed entities of each kind, and seeds that are no identifiers, label some strings; then iterations alternate in Spark: a
 pattern is trusted for a kind when nearly all labelled weight on it is of that kind and enough distinct strings support
 it, and a string takes the noisy-or of its trusted patterns. Accepted strings stay accepted and raise further patterns,
-until a round accepts nothing new. Then the plain words that stand in trusted contexts join the candidates, which can
-cost a context its trust, and the graph is scored again until no further context is trusted. Every occurrence of an
-accepted string is a find.
+until a round accepts nothing new. Then the plain words that stand in trusted contexts are counted over all texts: a
+context where they leave the accepted strings less than the share ``trust`` is dropped for good, and those of the others
+join the candidates. The graph is scored again until no further context is trusted. Every occurrence of an accepted
+string is a find.
 
 The seeds are all strings that a strict rule accepts, so each of them is a find, and those that a caller gives, which
 may be of other kinds; all documents, candidates and patterns take part in the graph.
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 from hashlib import blake2b
 
 import pyarrow as pa
@@ -200,37 +202,77 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def plain_words(text: str, wanted: dict[str, set[str]]) -> Iterator[tuple[int, int, str, list[str]]]:
-    """(start, end, word, patterns) of the words that are no candidates and stand in one of the contexts.
+    """(start, end, word, contexts met) of the words without a mark of candidates that stand in one of the contexts.
 
     ``wanted`` has the contexts by the word next to the string.
     """
-    words, last, taken = list(_WORD.finditer(text)), 0, candidates(text)
-    for i, m in enumerate(words):
-        near = ([_named(words[i - 1][0])] if i else []) + ([_named(words[i + 1][0])] if i + 1 < len(words) else [])
-        if not any(w in wanted for w in near):
+    names = [w if len(w) <= _LONG_WORD else _named(w) for w in text.lower().split()]
+    beside = sorted({j for i, w in enumerate(names) if w in wanted for j in (i - 1, i + 1)})
+    if not beside:
+        return
+    words = list(_WORD.finditer(text))
+    for i in beside:
+        if not 0 <= i < len(words):
             continue
-        a, b = m.span()
-        lead, tail = _QUOTED.match(text, a, b), _TAIL.search(text, a, b)
-        a, b = lead.end() if lead else a, tail.start() if tail else b
-        while last < len(taken) and taken[last][1] <= a:
-            last += 1
-        if b <= a or last < len(taken) and taken[last][0] < b:
+        a, b = words[i].span()
+        if _MARK.search(text, a, b):
             continue
-        found = patterns(text, a, b, text[a:b])
-        if any(p in wanted[w] for w in near if w in wanted for p in found):
-            yield a, b, text[a:b], found
+        lead, tail = _QUOTED.match(text, a, b), _TAIL.search(text, a, b)
+        if lead or tail:
+            a, b = lead.end() if lead else a, tail.start() if tail else b
+            if b <= a:
+                continue
+            before, after = neighbours(text, a, b)
+        else:
+            before, after = names[max(0, i - 2) : i], names[i + 1 : i + 2]
+        kind = _coarse(text[a:b])
+        near = {*before[-1:], *before[:1], *after}
+        met = [p for p in contexts(before, after, kind) if any(p in wanted[w] for w in near if w in wanted)]
+        if met:
+            yield a, b, text[a:b], met
 
 
-def _plain(known: list[str]):
+def _by_word(known: list[str]) -> dict[str, set[str]]:
     wanted: dict[str, set[str]] = {}
     for pattern in known:
         wanted.setdefault(pattern.split(" ")[-2], set()).add(pattern)
+    return wanted
+
+
+def _crowded(known: dict[str, int]):
+    """(pattern, word): the distinct plain words of each context up to its allowance, and null where there are more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted, seen = _by_word(list(known)), {}
+        for batch in batches:
+            for text in batch.column(1).to_pylist() if wanted else ():
+                for _, _, value, met in plain_words(text, wanted):
+                    for p in met:
+                        own = seen.setdefault(p, set())
+                        if own is None:
+                            continue
+                        own.add(value)
+                        if len(own) > known[p]:
+                            seen[p] = None
+                            word = p.split(" ")[-2]
+                            wanted[word].discard(p)
+                            if not wanted[word]:
+                                del wanted[word]
+        rows = [(p, v) for p, own in seen.items() for v in ([None] if own is None else own)]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], ["pattern", "word"])
+
+    return run
+
+
+def _plain(known: list[str]):
+    wanted = _by_word(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                rows += [(doc_id, a, b, value, None, found) for a, b, value, found in plain_words(text, wanted)]
+                rows += [(doc_id, a, b, value, None, patterns(text, a, b, value)) for a, b, value, _ in plain_words(text, wanted)]
             if rows:
                 yield _batch(rows)
 
@@ -254,7 +296,7 @@ def score_graph(edges: DataFrame, seeds: DataFrame, support: int, trust: float,
         certain = ~F.col("pattern").startswith(CONTEXT) | (F.col("of_all") >= trust)
         trusted = weight.withColumn("trust", share).withColumn("of_all", of_all).where(certain & (F.col("trust") >= trust) & (F.col("n") >= support) & (F.col("kind") != NONE))
         confidence = F.col("trust") * F.col("n") / (F.col("n") + 0.5)
-        trusted = materialize(trusted.select("pattern", "kind", confidence.alias("c")), "trusted")
+        trusted = materialize(trusted.select("pattern", "kind", "n", confidence.alias("c")), "trusted")
         reached = edges.join(trusted, "pattern").groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.least("c", F.lit(0.999)))))).alias("score"))
         fresh = reached.where(F.col("score") >= accept).join(seeds.select("value"), "value", "left_anti").select("value", "kind", "score")
         last, held = held, materialize(known.union(fresh).groupBy("value", "kind").agg(F.max("score").alias("score")), "known")
@@ -288,21 +330,33 @@ def find_pii(docs: DataFrame, seeds: int | None = None, support: int = 5, trust:
         pick = Window.partitionBy("kind").orderBy(F.xxhash64("value"), "value")
         chosen = chosen.withColumn("r", F.row_number().over(pick)).where(F.col("r") <= seeds).drop("r")
     chosen = materialize(chosen, "seeds")
-    searched, words, every = None, None, found
+    searched, dropped, words, every = None, None, None, found
     while True:
-        scored, trusted = score_graph(every.select(F.explode("patterns").alias("pattern"), "value"), chosen, support, trust, accept)
-        fresh = trusted.where(F.col("pattern").startswith(CONTEXT)).select("pattern").distinct()
+        edges = every.select(F.explode("patterns").alias("pattern"), "value")
+        scored, trusted = score_graph(edges if dropped is None else edges.join(dropped, "pattern", "left_anti"), chosen, support, trust, accept)
+        fresh = trusted.where(F.col("pattern").startswith(CONTEXT)).groupBy("pattern").agg(F.floor(F.max("n") / F.lit(trust) - F.max("n") + 1e-9).cast("long").alias("allowed"))
         if searched is not None:
             fresh = fresh.join(searched, "pattern", "left_anti")
         fresh = materialize(fresh, "contexts")
         passes = -(-fresh.count() // PASS)
         if not passes:
             break
-        for k in range(passes):
-            part = [r[0] for r in fresh.where(F.pmod(F.xxhash64("pattern"), F.lit(passes)) == k).collect()]
+        of_pass = lambda k: fresh.where(F.pmod(F.xxhash64("pattern"), F.lit(passes)) == k)  # noqa: B023, E731
+        met = [source.mapInArrow(_crowded({r[0]: r[1] for r in of_pass(k).collect()}), "pattern string, word string") for k in range(passes)]
+        counted = reduce(DataFrame.union, met).groupBy("pattern").agg(F.count_distinct("word").alias("n"), F.max(F.col("word").isNull()).alias("more"))
+        counted = materialize(fresh.join(counted, "pattern"), "counted")
+        over = F.col("more") | (F.col("n") > F.col("allowed"))
+        gone, open_ = counted.where(over).select("pattern"), counted.where(~over).select("pattern")
+        dropped = gone if dropped is None else dropped.union(gone)
+        searched = fresh.select("pattern") if searched is None else searched.union(fresh.select("pattern"))
+        if counted.isEmpty():
+            break
+        rounds = -(-open_.count() // PASS)
+        for k in range(rounds):
+            part = [r[0] for r in open_.where(F.pmod(F.xxhash64("pattern"), F.lit(rounds)) == k).collect()]
             # A word may stand in contexts of several passes; n tells repeated rows from that.
-            met = source.mapInArrow(_plain(part), _FOUND).groupBy(*found.columns).agg(F.count("*").alias("n"))
-            words = materialize(met if words is None else words.union(met).groupBy(*found.columns).agg(F.max("n").alias("n")), "words")
-        every = found.union(words.select(*found.columns, F.explode(F.sequence(F.lit(1), F.col("n")))).drop("col"))
-        searched = fresh if searched is None else searched.union(fresh)
+            rows = source.mapInArrow(_plain(part), _FOUND).groupBy(*found.columns).agg(F.count("*").alias("n"))
+            words = materialize(rows if words is None else words.union(rows).groupBy(*found.columns).agg(F.max("n").alias("n")), "words")
+        if words is not None:
+            every = found.union(words.select(*found.columns, F.explode(F.sequence(F.lit(1), F.col("n")))).drop("col"))
     return every.join(scored, "value").select("doc_id", "kind", "start", "end", F.col("value").alias("identifier"), "score")
