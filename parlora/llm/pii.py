@@ -206,10 +206,12 @@ def plain_words(text: str, wanted: dict[str, set[str]]) -> Iterator[tuple[int, i
 
     ``wanted`` has the contexts by the word next to the string.
     """
-    names = [w if len(w) <= _LONG_WORD else _named(w) for w in text.lower().split()]
-    beside = sorted({j for i, w in enumerate(names) if w in wanted for j in (i - 1, i + 1)})
-    if not beside:
+    names = text.lower().split()
+    if len(text) > _LONG_WORD and max(map(len, names), default=0) > _LONG_WORD:
+        names = [w if len(w) <= _LONG_WORD else _named(w) for w in names]
+    if wanted.keys().isdisjoint(names):
         return
+    beside = sorted({j for i, w in enumerate(names) if w in wanted for j in (i - 1, i + 1)})
     words = list(_WORD.finditer(text))
     for i in beside:
         if not 0 <= i < len(words):
