@@ -3,7 +3,8 @@
 A text is cut into pieces of a public model so that the sum of the pieces' scores is greatest. Over the lattice of a
 unit (a word with the spaces before it, which no piece of such models crosses) Viterbi gives forward scores; they are
 exact heuristics for a backward A-star search, which pops the N best segmentations of the unit in order. Viterbi runs
-over all distinct units of a batch at once. The N best of a document deviate from its best one only in the N - 1
+over all distinct units of a batch at once that the process hasn't met before; it keeps what it found for the units
+that come most often. The N best of a document deviate from its best one only in the N - 1
 units whose second-best segmentations cost least, so A-star runs for those and their lists are merged.
 
 A character that is no piece costs a fixed penalty and becomes its UTF-8 bytes as byte pieces, so decoding gives
@@ -22,6 +23,7 @@ import heapq
 import os
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +36,12 @@ from .ship import give_back, received, send, ship
 #: Where the driver has the vocabulary file of a public tokenizer by default; the executors get it from the driver.
 MODEL = os.environ.get("PARLORA_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 N_BEST = 4
-_SPACE, _LITERAL = 0x2581, 0x110001
+_SPACE, _LITERAL, _NEVER = 0x2581, 0x110001, 0xD800
 _UNIT = re.compile(r"\n| *[^ \n]+| +")
 _LONG_UNIT = 48
 _CHUNK = 1 << 21
+#: Units whose segmentations a process keeps between batches; beyond that the half that came in fewer batches goes.
+_KEPT = 200_000
 _B = 0x9E3779B97F4A7C15 | 1
 _UNKNOWN = -1
 EDIT = "struct<start:int,length:int,ids:array<int>>"
@@ -78,10 +82,14 @@ class Pieces:
             raise ValueError("the model has pieces that cross a space")
         self.longest = max(map(len, self.ids))
         self.penalty = float(self.scores[list(self.ids.values())].clip(-1e6).min() - 10)
+        self.score_of = self.scores.tolist()
+        self.cost = np.append(self.scores, self.penalty)  # at -1 the penalty
         strings = sorted(self.ids)
         inverse, keys = np.uint64(pow(_B, -1, 1 << 64)), np.empty(len(strings), U64)
         for k, s in enumerate(strings):
             keys[k] = _hash(np.array([ord(c) for c in s], np.int64))[-1]
+        self._maybe = np.zeros(1 << 21, bool)
+        self._maybe[self._slot(keys)] = True
         keys = mix(keys)
         self.down = np.multiply.accumulate(np.concatenate((np.ones(1, U64), np.full(_LONG_UNIT + 1, inverse, U64))))
         self._tables = []
@@ -98,25 +106,31 @@ class Pieces:
             raise ValueError("the pieces' hashes collide")
         self._keys, self._values = keys, values
 
-    def find(self, key: np.ndarray) -> np.ndarray:
-        """The piece of each substring hash, or -1."""
+    @staticmethod
+    def _slot(raw: np.ndarray) -> np.ndarray:
+        return ((raw * U64(_B)) >> U64(43)).view(np.int64)
+
+    def find(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places in ``raw``, pieces) of the substring hashes that are a piece's; most others go by one look at a bit."""
+        there = np.flatnonzero(self._maybe[self._slot(raw)])
+        key = mix(raw[there])
         out = np.full(len(key), _UNKNOWN, np.int64)
         for shift, table in self._tables:
             at = table[(key >> U64(shift)).astype(np.int64) & 0xFFFFF]
             hit = (at >= 0) & (self._keys[at] == key)
             out[hit] = self._values[at[hit]]
-        return out
+        hit = out >= 0
+        return there[hit], out[hit]
 
     def edges(self, unit: str) -> list[list[tuple[int, int, float]]]:
         """For each end, (begin, piece or -1, score) of the lattice's edges into it, longer pieces first."""
-        chars = ["\0\1" if c == "▁" else "▁" if c == " " else c for c in unit]
-        out: list[list[tuple[int, int, float]]] = [[]]
+        chars, piece, out = unit.replace("▁", chr(_NEVER)).replace(" ", "▁"), self.ids.get, [[]]
         for j in range(1, len(chars) + 1):
             own = []
             for i in range(max(0, j - self.longest), j):
-                p = self.ids.get("".join(chars[i:j]))
+                p = piece(chars[i:j])
                 if p is not None:
-                    own.append((i, p, float(self.scores[p])))
+                    own.append((i, p, self.score_of[p]))
             if not own or own[-1][0] != j - 1:
                 own.append((j - 1, _UNKNOWN, self.penalty))
             out.append(own)
@@ -131,8 +145,7 @@ class Pieces:
 
     def decode(self, ids: list[int]) -> str:
         """The text of piece ids, without the space that encoding puts in front."""
-        table = self.bytes_of
-        raw = b"".join([table[i] for i in ids])
+        raw = b"".join(map(self.bytes_of.__getitem__, ids))
         return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
 
 
@@ -180,11 +193,55 @@ def n_best(edges: list[list[tuple[int, int, float]]], n: int) -> list[tuple[floa
     return [(alpha[end], best), *out]
 
 
+class _Places(dict):
+    """Units in the order in which they came first, each with its place."""
+
+    def __missing__(self, unit: str) -> int:
+        place = self[unit] = len(self)
+        return place
+
+
 class Codec:
-    """Encodes batches of texts; keeps what it found for units that need an A-star search."""
+    """Encodes batches of texts; keeps what it found for units that come often or need an A-star search."""
 
     def __init__(self, pieces: Pieces, n: int) -> None:
         self.pieces, self.n, self.kept = pieces, n, {}
+        self.places, self.names, self._long = _Places(), [], False
+        # By place: where the ids of the best segmentation begin in the store and how many there are, its score, what
+        # the second best costs more, and in how many batches the unit came.
+        self.store, self.begin, self.lens = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.score, self.cost, self.came = np.empty(0), np.empty(0), np.empty(0, np.int32)
+
+    def _trim(self) -> None:
+        """Before a batch: drop long units, and beyond ``_KEPT`` the half that came in fewer batches."""
+        if not self.names or (len(self.names) <= _KEPT and not self._long):
+            return
+        stays = np.fromiter(map(len, self.names), np.int64, len(self.names)) <= _LONG_UNIT
+        if len(self.names) > _KEPT:
+            order = np.argsort(-self.came, kind="stable")
+            stays[order[_KEPT // 2 :]] = False
+            self.came //= 2
+        self.names = [u for u, x in zip(self.names, stays.tolist()) if x]
+        self.places = _Places(zip(self.names, range(len(self.names))))
+        begin, self.lens = self.begin[stays], self.lens[stays]
+        self.begin = np.cumsum(self.lens) - self.lens
+        self.store = self.store[np.arange(self.lens.sum()) + np.repeat(begin - self.begin, self.lens)]
+        self.score, self.cost, self.came = self.score[stays], self.cost[stays], self.came[stays]
+
+    def _learn(self) -> None:
+        """Segment the units that came to ``places`` since the last time."""
+        new = list(islice(self.places, len(self.names), None))
+        self._long = any(len(u) > _LONG_UNIT for u in new)
+        if not new:
+            return
+        best, score, cost = self.units(new)
+        lens = np.fromiter(map(len, best), np.int64, len(best))
+        self.begin = np.concatenate((self.begin, len(self.store) + np.cumsum(lens) - lens))
+        self.store = np.concatenate((self.store, *best))
+        self.lens = np.concatenate((self.lens, lens))
+        self.score, self.cost = np.concatenate((self.score, score)), np.concatenate((self.cost, cost))
+        self.came = np.concatenate((self.came, np.zeros(len(new), np.int32)))
+        self.names += new
 
     def _searched(self, unit: str) -> list[tuple[float, list[int]]]:
         found = self.kept.get(unit)
@@ -201,27 +258,24 @@ class Codec:
         p, best = self.pieces, [None] * len(units)
         score, cost = np.zeros(len(units)), np.full(len(units), np.inf)
         sizes = np.fromiter(map(len, units), np.int64, len(units))
-        order = np.argsort(sizes, kind="stable")
-        bounds = np.flatnonzero(np.diff(sizes[order], prepend=-1, append=1 << 60))
-        for a, b in zip(bounds[:-1], bounds[1:]):
-            length, group = int(sizes[order[a]]), order[a:b]
-            if length > _LONG_UNIT:
-                for u in group:
-                    edges = p.edges(units[u])
-                    alpha, path = forward(edges)
-                    best[u] = np.array(p.spelled(units[u], path), np.int32)
-                    score[u] = alpha[-1]
-                    if self.n > 1:
-                        two = n_best(edges, 2)
-                        cost[u] = alpha[-1] - two[1][0] if len(two) > 1 else np.inf
-                continue
-            for s in range(0, len(group), 65536):
-                self._viterbi(units, group[s : s + 65536], length, best, score, cost)
+        order = np.argsort(-sizes, kind="stable")
+        for u in order[: np.count_nonzero(sizes > _LONG_UNIT)]:
+            edges = p.edges(units[u])
+            alpha, path = forward(edges)
+            best[u] = np.array(p.spelled(units[u], path), np.int32)
+            score[u] = alpha[-1]
+            if self.n > 1:
+                two = n_best(edges, 2)
+                cost[u] = alpha[-1] - two[1][0] if len(two) > 1 else np.inf
+        order = order[np.count_nonzero(sizes > _LONG_UNIT) :]
+        for s in range(0, len(order), 8192):
+            self._viterbi(units, order[s : s + 8192], sizes[order[s : s + 8192]], best, score, cost)
         return best, score, cost
 
-    def _viterbi(self, units, group, length, best, score, cost) -> None:
-        p, m = self.pieces, len(group)
-        codes = np.frombuffer("".join([units[u] for u in group]).encode("utf-32-le"), np.uint32).reshape(m, length).astype(np.int64)
+    def _viterbi(self, units, group, sizes, best, score, cost) -> None:
+        """All units of ``group`` at once, longer ones first, so those that reach an end are the first rows."""
+        p, m, length = self.pieces, len(group), int(sizes[0])
+        codes = np.frombuffer("".join([units[u].ljust(length, "\0") for u in group.tolist()]).encode("utf-32-le"), np.uint32).reshape(m, length).astype(np.int64)
         codes = np.where(codes == _SPACE, _LITERAL, codes)
         codes = np.where(codes == 32, _SPACE, codes)
         total = np.ascontiguousarray(_hash(codes).T)
@@ -229,22 +283,28 @@ class Codec:
         alpha[0] = 0
         back = np.zeros((length + 1, m), np.int64)
         piece = np.zeros((length + 1, m), np.int64)
-        lattice = []
+        lattice, every = [], np.arange(m)
         for j in range(1, length + 1):
-            for i in range(max(0, j - p.longest), j):
-                ids = p.find(mix((total[j] - total[i]) * p.down[i]))
-                there = np.flatnonzero(ids >= 0) if i < j - 1 else np.arange(m)
+            least, reach = max(0, j - p.longest), int(np.searchsorted(-sizes, -j, "right"))
+            found, pieces = p.find(((total[j, :reach] - total[least:j, :reach]) * p.down[least:j, None]).reshape(-1))
+            cuts = np.searchsorted(found, np.arange(j - least + 1) * reach)
+            for i in range(least, j):
+                part = slice(cuts[i - least], cuts[i - least + 1])
+                there, own = found[part] - (i - least) * reach, pieces[part]
+                if i == j - 1:
+                    alone = np.full(reach, _UNKNOWN, np.int64)
+                    alone[there] = own
+                    there, own = every[:reach], alone
                 if not len(there):
                     continue
-                own = ids[there]
-                s = np.where(own >= 0, p.scores[own], p.penalty)
+                s = p.cost[own]
                 value = alpha[i][there] + s
                 better = value > alpha[j][there]
                 at = there[better]
                 alpha[j][at], back[j][at], piece[j][at] = value[better], i, own[better]
                 lattice.append((i, j, there, s))
-        score[group] = alpha[length]
-        pos, rows, parts = np.full(m, length), np.arange(m), []
+        score[group] = whole = alpha[sizes, every]
+        pos, rows, parts = sizes.copy(), every, []
         on_path = np.full((length + 1, m), -1, np.int64)
         while len(rows):
             i, own = back[pos[rows], rows], piece[pos[rows], rows]
@@ -260,33 +320,34 @@ class Codec:
             spelled = [[int(x)] if x >= 0 else [int(p.byte_id[b]) for b in units[group[o]][i].encode()] for x, o, i in zip(ids, owner, begin)]
             owner = np.repeat(owner, [len(x) for x in spelled])
             ids = np.array([y for x in spelled for y in x], np.int64)
-        cuts = np.searchsorted(owner, np.arange(m + 1))
+        cuts = np.searchsorted(owner, np.arange(m + 1)).tolist()
         ids = ids.astype(np.int32)
-        for k, u in enumerate(group):
+        for k, u in enumerate(group.tolist()):
             best[u] = ids[cuts[k] : cuts[k + 1]]
         if self.n > 1:
             beta = np.full((length + 1, m), -np.inf)
-            beta[length] = 0
-            for i, j, there, s in sorted(lattice, key=lambda e: -e[1]):
-                np.maximum.at(beta[i], there, beta[j][there] + s)
+            beta[sizes, every] = 0
             second = np.full(m, -np.inf)
-            for i, j, there, s in lattice:
-                through = np.where(on_path[j][there] == i, -np.inf, alpha[i][there] + s + beta[j][there])
+            for i, j, there, s in reversed(lattice):  # edges into later ends first, so beta[j] is final
+                rest = beta[j][there]
+                beta[i][there] = np.maximum(beta[i][there], rest + s)
+                through = alpha[i][there] + s + rest
+                through[on_path[j][there] == i] = -np.inf
                 second[there] = np.maximum(second[there], through)
-            cost[group] = alpha[length] - second
+            cost[group] = whole - second
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
         """(all ids, offsets by text, scores, alternatives) of texts that aren't null."""
-        seen: dict[str, int] = {}
-        at = seen.setdefault
-        lists = [[at(u, len(seen)) for u in _UNIT.findall(" " + t)] if t else [] for t in texts]
-        units = list(seen)
-        best, unit_score, cost = self.units(units)
-        flat = np.fromiter((u for x in lists for u in x), np.int64)
-        counts = np.fromiter(map(len, lists), np.int64, len(lists))
-        unit_off = np.concatenate(([0], np.cumsum(counts)))
-        lens = np.fromiter(map(len, best), np.int64, len(best))
-        store, begin = (np.concatenate(best) if best else np.empty(0, np.int32)), np.concatenate(([0], np.cumsum(lens)))[:-1]
+        self._trim()
+        at, places, ends = self.places.__getitem__, [], [0]
+        for t in texts:
+            if t:
+                places += map(at, _UNIT.findall(" " + t))
+            ends.append(len(places))
+        self._learn()
+        units, lens, store, begin, unit_score, cost = self.names, self.lens, self.store, self.begin, self.score, self.cost
+        flat, unit_off = np.array(places, np.int64), np.array(ends)
+        self.came[np.bincount(flat, minlength=len(units)) > 0] += 1
         size = lens[flat]
         start = np.concatenate(([0], np.cumsum(size)))
         ids = store[np.arange(start[-1]) + np.repeat(begin[flat] - start[:-1], size)] if len(flat) else store[:0]
@@ -348,20 +409,24 @@ def _run(name: str, n: int):
                 while to < len(texts) and (to == at or size + len(texts[to] or "") <= _CHUNK):
                     size += len(texts[to] or "")
                     to += 1
-                part = texts[at:to]
+                places = _Places()  # repeated texts, as mixing makes them, are encoded once
+                which = pa.array([places[t] for t in texts[at:to]], pa.int64())
+                part = list(places)
                 null = np.array([t is None for t in part])
                 ids, offsets, scores, alternatives = own.encode([t or "" for t in part])
                 lens = np.diff(offsets).astype(np.int32)
                 whole = ids.tolist()
                 same = [None if t is None else own.pieces.decode(whole[offsets[k] : offsets[k + 1]]) == t for k, t in enumerate(part)]
                 off = pa.array(np.where(np.append(null, False), None, offsets.astype(np.int32).astype(object)), pa.int32()) if null.any() else pa.array(offsets.astype(np.int32))
-                yield pa.RecordBatch.from_arrays(
+                found = pa.RecordBatch.from_arrays(
                     [
-                        doc_ids.slice(at, to - at), pa.array(lens, mask=null), pa.array(scores, mask=null), pa.ListArray.from_arrays(off, pa.array(ids, pa.int32())),
+                        pa.array(lens, mask=null), pa.array(scores, mask=null), pa.ListArray.from_arrays(off, pa.array(ids, pa.int32())),
                         pa.array([None if z else a for a, z in zip(alternatives, null)], schema.field("alternatives").type), pa.array(same, pa.bool_()),
                     ],
-                    schema=schema,
+                    names=schema.names[1:],
                 )
+                found = found if len(part) == to - at else found.take(which)
+                yield pa.RecordBatch.from_arrays([doc_ids.slice(at, to - at), *found.columns], schema=schema)
                 at = to
         give_back()
 

@@ -88,3 +88,25 @@ def test_long_and_short_units_take_the_same_segmentations(monkeypatch):
     assert max(abs(a - b) for a, b in zip(one[2], other[2])) < 1e-4
     flat = lambda found: [[[(e["start"], e["length"], list(e["ids"])) for e in alt["edits"]] for alt in of] for of in found[3]]
     assert flat(one) == flat(other)
+
+
+def test_units_and_texts_met_before_are_not_segmented_again(spark, monkeypatch):
+    """A batch costs what is new in it; what was dropped in between gives the same again."""
+    from parlora.llm import piece_codec as module
+
+    texts = [words(300, s) for s in range(6)] + ["x" * 60 + " é🙂 a▁b", "", "aaaa " * 30]
+    same = lambda found: (found[0].tolist(), found[1].tolist(), [round(float(s), 4) for s in found[2]], found[3])
+    searched = []
+    units = module.Codec.units
+    monkeypatch.setattr(module.Codec, "units", lambda self, new: searched.extend(new) or units(self, new))
+    own = module.Codec(module.Pieces(), 4)
+    first = same(own.encode(texts))
+    once = len(searched)
+    assert same(own.encode(texts)) == first
+    assert once == len(set(searched[:once])) and {u for u in searched[once:]} == {u for u in searched if len(u) > 48}
+    monkeypatch.setattr(module, "_KEPT", 40)
+    assert [same(own.encode([t])) for t in texts] == [same(module.Codec(module.Pieces(), 4).encode([t])) for t in texts]
+    assert same(own.encode(texts)) == first
+    rows = spark.createDataFrame([(1, texts[0]), (2, None), (3, texts[0]), (4, texts[1]), (5, None), (6, "")], "doc_id long, text string").coalesce(1)
+    by = {r["doc_id"]: tuple(r)[1:] for r in encode(rows).collect()}
+    assert len(by) == 6 and by[1] == by[3] and by[1][2] != by[4][2] and by[2] == by[5] == (None,) * 5 and by[6] == (0, 0.0, [], [], True)
