@@ -4,9 +4,10 @@ Every document is compared with every other through bands of MinHash values; pai
 on their full sets of word 3-gram hashes (64 bits). Documents with the same set are collapsed before that, so k copies
 cost one comparison, not k*k. The sets of a bucket belong to its leader, the least of them; buckets with one leader are
 verified together, once, because near copies meet in most of their bands. A large group is cut into blocks whose pairs
-are verified apart, and no partner is dropped.
+are verified apart, and no partner is dropped. The result is a row for each document with its class and its number of links,
+so k copies are k rows; all pairs are given by ``ngram_jaccard_join``, whose rows grow with the square of a group.
 
-Cases: a document whose text is null, empty or without tokens has no set and is in no pair. Rows with a null
+Cases: a document whose text is null, empty or without tokens has no set and is in no pair; it is a class alone. Rows with a null
 ``doc_id`` can't be named in a result and are in no pair; the filter keeps them. Rows that share a ``doc_id`` are one
 document, which stays or goes whole; one with several texts pairs by each of them, so a pair of it may come with
 several values. Repeated rows aren't pairs. Ties at exactly the threshold count as pairs. Extra columns are carried by
@@ -241,12 +242,44 @@ def connected_components(edges: DataFrame) -> DataFrame:
         mark = seen
 
 
+def _classes(members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(node, label): the least ``doc_id`` that pairs and common sets connect each document with."""
+    return connected_components(members.select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).union(pairs.select("a", "b")))
+
+
+def ngram_jaccard_links(docs: DataFrame, n: int = 3, threshold: float = 0.5, recall: float = 0.95) -> DataFrame:
+    """(doc_id, class_id, n_links): every document, the least document that pairs connect it with, and its number of pairs.
+
+    The pairs are those of ``ngram_jaccard_join``, but they are counted by sets: a document is linked with the others of
+    its own set and with all of the sets paired with it. Documents in several such sets (several texts of one
+    ``doc_id``) are counted one by one, so that none counts twice. A document without a pair is a class alone.
+    """
+    members, pairs = (materialize(df, name) for df, name in zip(_pairs_of_sets(docs, n, threshold, recall), ("members", "pairs")))
+    of_set = ["rep", "k1"]
+    back = pairs.select(F.col("b").alias("rep"), F.col("kb").alias("k1"), F.col("a").alias("b"), F.col("ka").alias("kb"))
+    near = pairs.select(F.col("a").alias("rep"), F.col("ka").alias("k1"), "b", "kb").union(back)
+    placed = members.union(near.select("rep", "k1", F.col("rep"))).distinct().select("*", F.count("*").over(Window.partitionBy("doc_id")).alias("sets"))
+    placed = materialize(placed, "placed")
+    near = near.union(placed.select("rep", "k1", "rep", "k1").distinct())
+    once = placed.where("sets = 1")
+    size = once.groupBy(*of_set).agg(F.count("*").alias("size")).withColumnsRenamed({"rep": "b", "k1": "kb"})
+    around = near.join(size, ["b", "kb"]).groupBy(*of_set).agg(F.sum("size").alias("around"))
+    by_set = once.join(around, of_set).select("doc_id", (F.col("around") - 1).alias("n"))
+    of_several = placed.where("sets > 1").join(near, of_set).select(F.col("doc_id").alias("one"), F.col("b").alias("rep"), F.col("kb").alias("k1")).distinct()
+    of_several = of_several.join(placed, of_set).where("one <> doc_id").select("one", "doc_id", "sets").distinct()
+    by_one = of_several.select(F.col("one").alias("doc_id"), F.lit(1).alias("n")).union(of_several.where("sets = 1").select("doc_id", F.lit(1)))
+    counts = by_set.union(by_one).groupBy("doc_id").agg(F.sum("n").alias("n"))
+    labels = _classes(members, pairs).withColumnsRenamed({"node": "doc_id", "label": "class_id"})
+    every = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+    out = every.join(counts, "doc_id", "left").join(labels, "doc_id", "left")
+    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"))
+
+
 def drop_near_duplicates(docs: DataFrame, n: int = 3, threshold: float = 0.5, recall: float = 0.95) -> DataFrame:
     """``docs`` without near copies: of each group connected by pairs the document with the least ``doc_id`` stays.
 
     All columns and the remaining rows are returned as they are; documents without a pair always stay.
     """
     members, pairs = _pairs_of_sets(docs, n, threshold, recall)
-    labels = connected_components(members.select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).union(pairs.select("a", "b")))
-    gone = labels.where("node <> label").select(F.col("node").alias("__gone"))
+    gone = _classes(members, pairs).where("node <> label").select(F.col("node").alias("__gone"))
     return docs.join(gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti")

@@ -2,7 +2,7 @@ import re
 from collections import defaultdict
 
 from parlora.llm import near_dup
-from parlora.llm.near_dup import BLOCK, choose_bands, connected_components, drop_near_duplicates, jaccard_block, ngram_jaccard_join
+from parlora.llm.near_dup import BLOCK, choose_bands, connected_components, drop_near_duplicates, jaccard_block, ngram_jaccard_join, ngram_jaccard_links
 
 from .conftest import SCHEMA, row, words
 
@@ -110,3 +110,47 @@ def test_block_of_sides():
     sets = [np.array(x, np.uint64) for x in ([1, 2, 3], [1, 2, 3, 4], [9], [1, 2, 3])]
     assert {(a, b) for a, b, _ in jaccard_block(sets, None, 0.7)} == {(0, 1), (0, 3), (1, 3)}
     assert {(a, b) for a, b, _ in jaccard_block(sets, np.array([0, 1, 1, 0]), 0.7)} == {(0, 1), (1, 3)}
+
+
+def links_of(found, ids):
+    """What ``ngram_jaccard_links`` must give for these pairs."""
+    near = {d: {b for p in found for a, b in (p, p[::-1]) if a == d} for d in ids}
+    out = {}
+    for d in sorted(ids):
+        seen, todo = {d}, [d]
+        while todo:
+            new = near[todo.pop()] - seen
+            seen |= new
+            todo += new
+        out[d] = (min(seen), len(near[d]))
+    return out
+
+
+def links(df):
+    rows = df.collect()
+    assert df.columns == ["doc_id", "class_id", "n_links"] and len({r[0] for r in rows}) == len(rows)
+    return {r[0]: (r[1], r[2]) for r in rows}
+
+
+def test_a_row_for_each_document(spark, docs, texts, odd, none):
+    assert links(ngram_jaccard_links(docs)) == links_of(pairs(ngram_jaccard_join(docs)), set(texts))
+    ids = {r["doc_id"] for r in odd.collect()} - {None}
+    assert links(ngram_jaccard_links(odd)) == links_of({(1, 2), (3, 12)}, ids)
+    assert ngram_jaccard_links(none).count() == 0
+
+
+def test_rows_of_the_query_follow_the_documents(spark, tmp_path):
+    """Copies and near copies of one text: every link is counted, and rows don't grow with the square of the group."""
+    from parlora.llm.registry import queries
+
+    base = words(60, 7).split()
+    rows = [row(i, " ".join([*base[:50], f"tail{i % 30}", *base[50:]])) for i in range(90)] + [row(200, words(60, 8))]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    assert links(queries()["op2_ngram_jaccard_join"](spark, str(tmp_path))) == {**{i: (0, 89) for i in range(90)}, 200: (200, 0)}
+
+
+def test_links_of_documents_of_several_texts(spark):
+    one, two, three = words(60, 1), words(60, 2), words(60, 3)
+    rows = [(3, one), (3, two), (5, one), (6, two), (7, two + " end"), (1, three), (1, three), (2, three), (8, one), (8, one + " end"), (8, two), (9, one + " tail"), (4, three + " x"), (4, words(60, 4))]
+    df = spark.createDataFrame([row(*r) for r in rows], SCHEMA)
+    assert links(ngram_jaccard_links(df)) == links_of(set(ngram_jaccard_join(df).select("doc_id_a", "doc_id_b").distinct().toPandas().itertuples(index=False, name=None)), {r[0] for r in rows})
