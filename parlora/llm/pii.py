@@ -24,7 +24,7 @@ repeated finds. A string accepted for several kinds gets the most certain one, t
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import reduce
 from hashlib import blake2b
 
@@ -42,6 +42,8 @@ CONTEXT = "C"
 #: Contexts that one pass over the texts looks for, about.
 PASS = 100_000
 _MARK = re.compile(r"[0-9@]|(?<=\w)[=:](?=[^\s/])|AKIA[A-Z]{16}|(?<![\w])[a-f]{40}(?!\w)")
+#: Letters of the shortest mark that has nothing else.
+_SHORTEST_MARK = 20
 _LONG_WORD = 64
 _WORD = re.compile(r"\S+")
 _PHONE = re.compile(r"[+(][0-9(][0-9()+. -]*[0-9]")
@@ -94,6 +96,8 @@ def shape(value: str) -> str:
 
 def _coarse(value: str) -> str:
     """The class of a string: with ``@``, with letters, or digits, and whether it is as long as an identifier."""
+    if value.isalpha():
+        return "mixed" if len(value) < 8 else "MIXED"
     if "@" in value:
         return "@"
     digits = sum(c.isdigit() for c in value)
@@ -201,65 +205,103 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _batch(rows)
 
 
-def plain_words(text: str, wanted: dict[str, set[str]]) -> Iterator[tuple[int, int, str, list[str]]]:
-    """(start, end, word, contexts met) of the words without a mark of candidates that stand in one of the contexts.
+class Wanted:
+    """Contexts that texts are searched for, filed by what a text holds where one of them may be met.
 
-    ``wanted`` has the contexts by the word next to the string.
+    ``before`` and ``after`` are by the word next to the string. A part of the string's own word may be that too, so
+    contexts of such parts are also in ``begins`` and ``ends``, by the first or last character of the whole word.
     """
-    names = text.lower().split()
-    if len(text) > _LONG_WORD and max(map(len, names), default=0) > _LONG_WORD:
+
+    def __init__(self, patterns: Iterable[str]) -> None:
+        self.patterns: set[str] = set(patterns)
+        self.before: dict[str, set[str]] = {}
+        self.after: dict[str, set[str]] = {}
+        self.begins: dict[str, set[str]] = {}
+        self.ends: dict[str, set[str]] = {}
+        self.kinds: dict[str, set[str]] = {}
+        for pattern in self.patterns:
+            for table, key in self._filed(pattern):
+                table.setdefault(key, set()).add(pattern)
+
+    def _filed(self, pattern: str) -> list[tuple[dict[str, set[str]], str]]:
+        side, *_, word, kind = pattern.split(" ")
+        right = side == f"{CONTEXT}R"
+        out = [(self.after if right else self.before, word), (self.kinds, kind)]
+        if (_TAIL if right else _QUOTED).fullmatch(word):
+            out.append((self.ends, word[-1]) if right else (self.begins, word[0]))
+        return out
+
+    def discard(self, pattern: str) -> None:
+        self.patterns.discard(pattern)
+        for table, key in self._filed(pattern):
+            table[key].discard(pattern)
+            if not table[key]:
+                del table[key]
+
+
+def _spots(low: str, wanted: Wanted) -> tuple[set[int], list[str]]:
+    """The places of all words that may stand in a context, and the names of the words, of a text in lower case."""
+    names, spots = low.split(), set()
+    if wanted.begins and any(c in low for c in wanted.begins):
+        spots.update(i for i, w in enumerate(names) if w[0] in wanted.begins)
+    if wanted.ends and any(c in low for c in wanted.ends):
+        spots.update(i for i, w in enumerate(names) if w[-1] in wanted.ends)
+    if len(low) > _LONG_WORD and max(map(len, names), default=0) > _LONG_WORD:
+        # A part of a long word may be named by its digest.
+        spots.update(i for i, w in enumerate(names) if len(w) > _LONG_WORD)
         names = [w if len(w) <= _LONG_WORD else _named(w) for w in names]
-    if wanted.keys().isdisjoint(names):
+    if not wanted.before.keys().isdisjoint(names):
+        spots.update(i for i, w in enumerate(names, 1) if w in wanted.before)
+    if not wanted.after.keys().isdisjoint(names):
+        spots.update(i for i, w in enumerate(names, -1) if w in wanted.after)
+    return spots, names
+
+
+def plain_words(text: str, wanted: Wanted) -> Iterator[tuple[int, int, str, list[str]]]:
+    """(start, end, word, contexts met) of the words without a mark of candidates that stand in one of the contexts."""
+    spots, names = _spots(text.lower(), wanted)
+    if not spots:
         return
-    beside = sorted({j for i, w in enumerate(names) if w in wanted for j in (i - 1, i + 1)})
-    words = list(_WORD.finditer(text))
-    for i in beside:
+    words, starts = text.split(), None
+    for i in sorted(spots):
         if not 0 <= i < len(words):
             continue
-        a, b = words[i].span()
-        if _MARK.search(text, a, b):
-            continue
-        lead, tail = _QUOTED.match(text, a, b), _TAIL.search(text, a, b)
-        if lead or tail:
+        word = words[i]
+        a, b = 0, len(word)
+        if b >= _SHORTEST_MARK or not word.isalpha():
+            if _MARK.search(word):
+                continue
+            lead, tail = _QUOTED.match(word), _TAIL.search(word)
             a, b = lead.end() if lead else a, tail.start() if tail else b
             if b <= a:
                 continue
-            before, after = neighbours(text, a, b)
-        else:
-            before, after = names[max(0, i - 2) : i], names[i + 1 : i + 2]
-        kind = _coarse(text[a:b])
-        near = {*before[-1:], *before[:1], *after}
-        met = [p for p in contexts(before, after, kind) if any(p in wanted[w] for w in near if w in wanted)]
+        value = word[a:b]
+        kind = _coarse(value)
+        if kind not in wanted.kinds:
+            continue
+        before = [*names[max(0, i - 1) : i], _named(word[:a])] if a else names[max(0, i - 2) : i]
+        after = [_named(word[b:])] if b < len(word) else names[i + 1 : i + 2]
+        met = [p for p in contexts(before, after, kind) if p in wanted.patterns]
         if met:
-            yield a, b, text[a:b], met
-
-
-def _by_word(known: list[str]) -> dict[str, set[str]]:
-    wanted: dict[str, set[str]] = {}
-    for pattern in known:
-        wanted.setdefault(pattern.split(" ")[-2], set()).add(pattern)
-    return wanted
+            if starts is None:
+                starts = [m.start() for m in _WORD.finditer(text)]
+            yield starts[i] + a, starts[i] + b, value, met
 
 
 def _crowded(known: dict[str, int]):
     """(pattern, word): the distinct plain words of each context up to its allowance, and null where there are more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, seen = _by_word(list(known)), {}
+        wanted, seen = Wanted(known), {}
         for batch in batches:
-            for text in batch.column(1).to_pylist() if wanted else ():
+            for text in batch.column(1).to_pylist() if wanted.patterns else ():
                 for _, _, value, met in plain_words(text, wanted):
                     for p in met:
                         own = seen.setdefault(p, set())
-                        if own is None:
-                            continue
                         own.add(value)
                         if len(own) > known[p]:
                             seen[p] = None
-                            word = p.split(" ")[-2]
-                            wanted[word].discard(p)
-                            if not wanted[word]:
-                                del wanted[word]
+                            wanted.discard(p)
         rows = [(p, v) for p, own in seen.items() for v in ([None] if own is None else own)]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], ["pattern", "word"])
@@ -268,9 +310,8 @@ def _crowded(known: dict[str, int]):
 
 
 def _plain(known: list[str]):
-    wanted = _by_word(known)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = Wanted(known)
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -336,7 +377,9 @@ def find_pii(docs: DataFrame, seeds: int | None = None, support: int = 5, trust:
     while True:
         edges = every.select(F.explode("patterns").alias("pattern"), "value")
         scored, trusted = score_graph(edges if dropped is None else edges.join(dropped, "pattern", "left_anti"), chosen, support, trust, accept)
-        fresh = trusted.where(F.col("pattern").startswith(CONTEXT)).groupBy("pattern").agg(F.floor(F.max("n") / F.lit(trust) - F.max("n") + 1e-9).cast("long").alias("allowed"))
+        # No plain word holds the mark ``@``, so none stands in a context of that class.
+        open_to_words = F.col("pattern").startswith(CONTEXT) & ~F.col("pattern").endswith(" @")
+        fresh = trusted.where(open_to_words).groupBy("pattern").agg(F.floor(F.max("n") / F.lit(trust) - F.max("n") + 1e-9).cast("long").alias("allowed"))
         if searched is not None:
             fresh = fresh.join(searched, "pattern", "left_anti")
         fresh = materialize(fresh, "contexts")
