@@ -7,12 +7,11 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import local as L
-from ..functions import text as T
 from ..operators import embeddings as V
 from ..operators import explain as X
 from ..operators import retrieval as R
 from . import batch as B
-from .registry import _ENT_SQL, _EXCERPT_SQL, _TERM_SQL, M_SQL, SEARCH, TERMS, VOICE_SQL, _index, _query, bm25_sql, messages
+from .registry import _ENT_SQL, _EXCERPT_SQL, _TERM_SQL, M_SQL, SEARCH, TERMS, VOICE_SQL, _excerpt, _index, _query, bm25_sql, messages
 
 ASKED = "what did dans do about the mentle"
 TIED = "the dans's mentle"
@@ -167,9 +166,9 @@ def _dated(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id"))
     day = F.date_format(F.date_add(F.lit("2024-01-03").cast("date"), F.pmod(F.col("doc_id") * 37, F.lit(150)).cast("int")), "yyyy-MM-dd")
-    excerpt = T.evidence_excerpt(F.col("text"))
+    excerpt = _excerpt(F.col("text"))
     role = F.when(F.pmod("doc_id", F.lit(3)) == 0, "assistant").otherwise("user")
-    rows = raw.select(F.col("lang").alias("query_id"), F.lit(TOLD).alias("query"), "doc_id", excerpt.alias("excerpt"), F.concat(day, F.lit("T10:00:00Z")).alias("created_at"), role.alias("role")).where("excerpt is not null")
+    rows = raw.select(F.col("lang").alias("query_id"), F.lit(TOLD).alias("query"), "doc_id", excerpt.alias("excerpt"), F.concat(day, F.lit("T10:00:00Z")).alias("created_at"), role.alias("role")).where("excerpt <> ''")
     return rows.select(
         "query_id", "query", rank.alias("rank"), F.lit(1).alias("window_rank"), F.lit("w1").alias("window_id"), F.lit(1.0).alias("score"), "role", F.array().cast("array<string>").alias("terms"), "excerpt",
         F.concat(F.lit("d"), "doc_id").alias("message_id"), F.lit("").alias("conversation_id"), F.lit("p").alias("provider"), F.lit(None).cast("string").alias("title"), "created_at", F.lit("relevance").alias("mode"),

@@ -42,6 +42,34 @@ def test_runs(spark, data, name):
     assert queries()[name](spark, data).count() > 0
 
 
+ODD = ("", "   ", "\t\n", "\u00a0", "\u00a0a\u00a0\u00a0b \u00a0", "\x0ba\x0bb\x1c", "a\u2028", " a\u2003\u2028", "the" + "\u00a0 the" * 60, "\x85 dans \x85", "x" * 201, "\U0001f600 " * 120, None)
+
+
+def odd_tables(spark, folder):
+    """Documents and conversations of odd texts, and DuckDB with views of them."""
+    spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in enumerate(ODD)], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(k // 4, k % 4, "user", t) for k, t in enumerate(ODD)], "conv_id long, turn int, role string, text string").coalesce(1).write.parquet(f"{folder}/conversations.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet/*.parquet'")
+    return con
+
+
+def same_rows(df, con, sql):
+    columns = sorted(df.columns)
+    got = sorted(repr(tuple(plain(r[c]) for c in columns)) for r in df.collect())
+    found = con.execute(sql)
+    names = [d[0] for d in found.description]
+    want = sorted(repr(tuple(plain(r[names.index(c)]) for c in columns)) for r in found.fetchall())
+    assert got == want and got
+
+
+@pytest.mark.parametrize("name", ["evidence_excerpts", "narrative_phases"])
+def test_odd_white_space_equals_sql(spark, tmp_path, name):
+    con = odd_tables(spark, str(tmp_path))
+    same_rows(queries()[name](spark, str(tmp_path)), con, oracle_sql()[name])
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
