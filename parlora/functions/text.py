@@ -44,9 +44,9 @@ def normalized(text: Column) -> Column:
 
 def searchable(text: Column, blocks: Column | None = None) -> Column:
     """The normalized text, or that of all blocks where the text is blank."""
-    own = blank_to_null(text)
     if blocks is None:
-        return normalized(own)
+        return normalized(text)
+    own = blank_to_null(text)
     parts = F.filter(F.transform(blocks, lambda b: blank_to_null(b["text"])), lambda t: t.isNotNull())
     return normalized(F.coalesce(own, F.array_join(parts, " ")))
 

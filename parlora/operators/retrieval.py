@@ -64,6 +64,15 @@ class Filters:
         return test
 
 
+#: Queries up to which their table goes to all executors, so that postings, texts and candidates stay where they are.
+BROADCAST_QUERIES = 100_000
+
+
+def few(queries: DataFrame) -> DataFrame:
+    """A table of queries, hinted for broadcast unless it is large; joins with it are right either way."""
+    return F.broadcast(queries) if queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES else queries
+
+
 def bm25_contribution(tf: Column, df: Column, n: Column, length: Column, avgdl: Column) -> Column:
     """What one term adds to a document's score."""
     idf = F.log(1 + (n - df + 0.5) / (df + 0.5))
@@ -74,7 +83,8 @@ def bm25_contribution(tf: Column, df: Column, n: Column, length: Column, avgdl:
 def bm25_scores(index: Index, parsed: DataFrame) -> DataFrame:
     """(query_id, message_id, bm25, matched) of every document that holds a term of the query."""
     wanted = parsed.select("query_id", F.explode("terms").alias("term"))
-    hits = index.postings.join(wanted, "term").join(index.terms, "term").crossJoin(F.broadcast(index.stats))
+    wanted = few(index.terms.join(few(wanted), "term"))
+    hits = index.postings.join(wanted, "term").crossJoin(F.broadcast(index.stats))
     part = bm25_contribution(F.col("tf"), F.col("df"), F.col("n"), F.col("length"), F.col("avgdl"))
     return hits.groupBy("query_id", "message_id").agg(F.sum(part).alias("bm25"), F.sort_array(F.collect_list(F.struct("term", F.round(part, 6).alias("contribution")))).alias("matched"))
 
@@ -83,7 +93,7 @@ def phrase_hits(index: Index, parsed: DataFrame) -> DataFrame:
     """(query_id, message_id, phrase_boost) of documents whose searchable text contains a quotation anywhere."""
     asked = parsed.where(F.size("phrases") > 0).select("query_id", "phrases")
     found = F.size(F.filter("phrases", lambda p: F.contains(F.col("searchable"), p)))
-    both = index.docs.crossJoin(asked).select("query_id", "message_id", (found * F.lit(C.PHRASE_BOOST)).alias("phrase_boost"))
+    both = index.docs.crossJoin(few(asked)).select("query_id", "message_id", (found * F.lit(C.PHRASE_BOOST)).alias("phrase_boost"))
     return both.where("phrase_boost > 0")
 
 
@@ -109,8 +119,9 @@ def lexical_candidates(index: Index, messages: DataFrame, parsed: DataFrame, fil
     """
     scores = bm25_scores(index, parsed).join(phrase_hits(index, parsed), ["query_id", "message_id"], "full_outer")
     scores = scores.fillna({"bm25": 0.0, "phrase_boost": 0.0}).where("bm25 > 0 or phrase_boost > 0")
-    kept = messages.where((filters or Filters()).condition()).select("message_id", "conversation_id", "provider", "author_role", "created_at", "text")
-    rows = scores.join(kept, "message_id").join(index.docs.select("message_id", "pos"), "message_id").join(parsed.select("query_id", "terms"), "query_id")
+    voice = T.voice_factor(F.col("author_role"), F.col("text")).alias("voice")  # before the joins, so that a query which doesn't return texts doesn't move them
+    kept = messages.where((filters or Filters()).condition()).select("message_id", "conversation_id", "provider", "author_role", "created_at", "text", voice)
+    rows = scores.join(kept, "message_id").join(index.places, "message_id").join(few(parsed.select("query_id", "terms")), "query_id")
     if conversations is not None:
         titles = conversations.select("conversation_id", T.tokens(F.col("title")).alias("title_tokens"))
         rows = rows.join(titles, "conversation_id", "left")
@@ -121,13 +132,11 @@ def lexical_candidates(index: Index, messages: DataFrame, parsed: DataFrame, fil
     if restatements:
         spoken = rows.where("author_role = 'assistant'").select("conversation_id").distinct()
         nearby = nearby_user_texts(messages.join(spoken, "conversation_id", "left_semi"))
-        rows = rows.join(nearby, "message_id", "left").withColumn("restates", restates(T.content_tokens(F.col("text")), F.col("nearby"))).drop("nearby")
-    else:
-        rows = rows.withColumn("restates", F.lit(False))
-    rows = rows.withColumn("voice", T.voice_factor(F.col("author_role"), F.col("text"), F.col("restates")))
+        again = F.when(F.col("author_role") == "assistant", restates(T.content_tokens(F.col("text")), F.col("nearby")))
+        rows = rows.join(nearby, "message_id", "left").withColumn("voice", F.col("voice") * F.when(again, F.lit(C.RESTATEMENT_FACTOR)).otherwise(F.lit(1.0))).drop("nearby")
     score = (F.col("bm25") + F.col("phrase_boost") + F.col("title_boost")) * F.col("voice")
     rows = rows.withColumn("score", score).withColumn("base_score", F.col("score"))
-    return rows.withColumn("semantic", F.lit(None).cast("double")).withColumn("sources", F.array(F.lit("bm25"))).drop("terms", "restates")
+    return rows.withColumn("semantic", F.lit(None).cast("double")).withColumn("sources", F.array(F.lit("bm25"))).drop("terms")
 
 
 def semantic_candidates(vectors: DataFrame, messages: DataFrame, query_vectors: DataFrame, model: str, limit: int, filters: Filters | None = None, restatements: bool = True) -> DataFrame:

@@ -147,3 +147,16 @@ def test_greedy_walk():
     rows += [{**base, "message_id": "d", "rank": 4, "focal_sequence": 30, "window_start": 28, "window_end": 32, "dup_key": "k"}, {**base, "message_id": "e", "rank": 5, "focal_sequence": 31, "window_start": 29, "window_end": 33}]
     assert list(W.accepted(pd.DataFrame(rows), 9)["message_id"]) == ["a", "c", "e"]
     assert list(W.accepted(pd.DataFrame(rows), 0)["message_id"]) == ["a"]
+
+
+@pytest.mark.parametrize("repeated", [False, True])
+def test_stored_index_sorts_ids_only(spark, tmp_path, repeated):
+    rows = [("a", "c", 1, "b a, b"), ("a" if repeated else "x", "c", 0, "B c"), ("y", "c", 2, " "), ("z", "d", 0, None)]
+    built = I.build_index(spark.createDataFrame(rows, "message_id string, conversation_id string, sequence_index int, text string"))
+    assert "Window" not in built.docs._jdf.queryExecution().toString()
+    built.save(str(tmp_path / "index"))
+    back = I.Index.load(spark, str(tmp_path / "index"))
+    for name in ("docs", "places", "postings", "terms", "stats"):
+        assert sorted(map(repr, getattr(back, name).select(*getattr(built, name).columns).collect())) == sorted(map(repr, getattr(built, name).collect()))
+    want = [("a", "a", 1), ("a", "b", 3), ("a", "c", 1)] if repeated else [("a", "a", 1), ("a", "b", 2), ("x", "b", 1), ("x", "c", 1)]
+    assert sorted((r["message_id"], r["term"], r["tf"]) for r in back.postings.collect()) == want
