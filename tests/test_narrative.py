@@ -121,3 +121,28 @@ def test_answers():
     assert router.route("hello", empty, []).startswith("I can answer") and "Insufficient evidence" in router.route("contradict", empty, [])
     phases, turns = router.scoped(n, "Marc")
     assert len(phases) == 1 and turns == []
+
+
+def test_tables_in_blocks_equal_whole_narratives(spark, monkeypatch):
+    import random
+
+    from parlora.plans import batch as B
+
+    draw = random.Random(3)
+    words = ("garden", "plants", "guitar", "lessons", "Anna", "Berlin", "Marc", "Mark")
+    rows = [
+        (q, "life", rank, 1, "w1", 1.0, draw.choice(["user", "assistant", None]), [], " ".join(draw.choices(words, k=draw.randint(1, 3))), f"m{rank}", "", "p", None, draw.choice([None, "", f"2024-{draw.randint(1, 6):02}-{draw.randint(1, 28):02}T00:00:00Z"]), "relevance")
+        for q in ("a", "b", None) for rank in range(1, 41)
+    ]
+    evidence = spark.createDataFrame(rows, "query_id string, query string, " + B._EVIDENCE)
+    monkeypatch.setattr(B, "BLOCK", 3)
+    monkeypatch.setattr(B, "BATCH", 5)
+    phases, turns, holes = B.narrative_tables(evidence, 20, 5)
+    told = {q: N.build("life", tuple(Evidence(r[2], 1, "w1", 1.0, r[6], (), r[8], r[9], "", "p", None, r[13]) for r in rows if r[0] == q), 20, 5) for q in ("a", "b", None)}
+    plain = lambda df: sorted(map(repr, (tuple(tuple(v) if isinstance(v, list) else v for v in r) for r in df.collect())))
+    assert plain(phases) == sorted(repr((q, "life", k, p.label, p.description, p.evidence_ids, p.date_range, p.support)) for q, n in told.items() for k, p in enumerate(n.timeline, 1))
+    assert plain(turns) == sorted(repr((q, "life", k, t.from_phase, t.to_phase, t.description)) for q, n in told.items() for k, t in enumerate(n.transitions, 1))
+    assert plain(holes) == sorted(repr((q, "life", k, g.description)) for q, n in told.items() for k, g in enumerate(n.gaps, 1))
+    assert max(len(n.timeline) for n in told.values()) > 6 and sum(len(n.gaps) for n in told.values()) > 3
+    ordered = [n for n in (told[q] for q in (None, "a", "b"))]
+    assert sorted(tuple(r) for r in B.recurring_table(phases).collect()) == sorted((e.name, e.occurrence_count, e.occurrences[0].created_at) for e in P.recurring(ordered))
