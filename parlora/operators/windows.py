@@ -54,22 +54,31 @@ def accepted(pdf: pd.DataFrame, limit: int) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["query_id", "message_id", "result_rank"])
 
 
+#: Rows of each query's ranking that one search stores; a walk that goes beyond them searches again for 16 times as many.
+POOL = 4_096
+
+
 def greedy_accept(ranked: DataFrame, messages: DataFrame, limit: int, radius: int = C.WINDOW_RADIUS) -> DataFrame:
     """The first ``limit`` acceptable rows of each query, with their range and ``result_rank``.
 
-    The rows are few and are stored, so what follows doesn't search again. The walk reads a prefix of each query's ranking; the prefix doubles for as long as some query has neither enough
-    rows nor seen all of its candidates.
+    The rows are few and are stored, so what follows doesn't search again. The walk reads a prefix of each query's
+    ranking; the prefix doubles for as long as some query has neither enough rows nor seen all of its candidates. The
+    head of the ranking is stored too, so a longer prefix is no new search.
     """
     ship_sources(messages)
     columns = ["query_id", "message_id", "conversation_id", "rank", "focal_sequence", "window_start", "window_end", "dup_key"]
     take = max(64, 16 * limit)
+    size = max(POOL, take)
+    pool = stored(ranked.where(F.col("rank") <= size + 1), "ranked")
     while True:
-        head = ranked.where(F.col("rank") <= take + 1)
-        prefix = with_ranges(head.where(F.col("rank") <= take), messages, radius).withColumn("dup_key", duplicate_key(F.col("text"))).persist()
+        if take > size:
+            size = max(take, 16 * size)
+            pool = stored(ranked.where(F.col("rank") <= size + 1), "ranked")
+        prefix = with_ranges(pool.where(F.col("rank") <= take), messages, radius).withColumn("dup_key", duplicate_key(F.col("text"))).persist()
         chosen = prefix.select(*columns).groupBy("query_id").applyInPandas(lambda pdf: accepted(pdf, limit), "query_id long, message_id string, result_rank int")
         # A query with a row beyond the prefix has more candidates; one with too few rows then needs them.
         short = prefix.groupBy("query_id").agg(F.max("rank").alias("last")).where(F.col("last") == take).join(chosen.groupBy("query_id").agg(F.count("*").alias("got")), "query_id").where(F.col("got") < max(1, limit))
-        if not short.take(1) or not head.where(F.col("rank") > take).join(short, "query_id", "left_semi").take(1):
+        if not short.take(1) or not pool.where(F.col("rank") == take + 1).join(short, "query_id", "left_semi").take(1):
             break
         prefix.unpersist()
         take *= 2

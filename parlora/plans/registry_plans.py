@@ -163,12 +163,12 @@ DAYS, GAP = 2, 3
 
 def _dated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as dated evidence of a query for each language."""
-    raw = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null")
+    raw = spark.read.parquet(f"{sf_dir}/documents.parquet").where(F.col("text").rlike(r"[^\t\n\f\r \p{Zs}]"))  # those whose excerpt isn't empty
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id"))
     day = F.date_format(F.date_add(F.lit("2024-01-03").cast("date"), F.pmod(F.col("doc_id") * 37, F.lit(150)).cast("int")), "yyyy-MM-dd")
     excerpt = _excerpt(F.col("text"))
     role = F.when(F.pmod("doc_id", F.lit(3)) == 0, "assistant").otherwise("user")
-    rows = raw.select(F.col("lang").alias("query_id"), F.lit(TOLD).alias("query"), "doc_id", excerpt.alias("excerpt"), F.concat(day, F.lit("T10:00:00Z")).alias("created_at"), role.alias("role")).where("excerpt <> ''")
+    rows = raw.select(F.col("lang").alias("query_id"), F.lit(TOLD).alias("query"), "doc_id", excerpt.alias("excerpt"), F.concat(day, F.lit("T10:00:00Z")).alias("created_at"), role.alias("role"))
     return rows.select(
         "query_id", "query", rank.alias("rank"), F.lit(1).alias("window_rank"), F.lit("w1").alias("window_id"), F.lit(1.0).alias("score"), "role", F.array().cast("array<string>").alias("terms"), "excerpt",
         F.concat(F.lit("d"), "doc_id").alias("message_id"), F.lit("").alias("conversation_id"), F.lit("p").alias("provider"), F.lit(None).cast("string").alias("title"), "created_at", F.lit("relevance").alias("mode"),

@@ -160,3 +160,16 @@ def test_stored_index_sorts_ids_only(spark, tmp_path, repeated):
         assert sorted(map(repr, getattr(back, name).select(*getattr(built, name).columns).collect())) == sorted(map(repr, getattr(built, name).collect()))
     want = [("a", "a", 1), ("a", "b", 3), ("a", "c", 1)] if repeated else [("a", "a", 1), ("a", "b", 2), ("x", "b", 1), ("x", "c", 1)]
     assert sorted((r["message_id"], r["term"], r["tf"]) for r in back.postings.collect()) == want
+
+
+def test_walk_beyond_the_prefix_is_no_new_search(spark, monkeypatch):
+    texts = [f"{LONG} {k}" for k in range(300)] + ["soil alone"]
+    messages = spark.createDataFrame([(f"m{k:03}", f"c{k}", 0, "p", "user", None, t) for k, t in enumerate(texts)], SCHEMA)
+    ranked = messages.select(F.lit(0).cast("long").alias("query_id"), "message_id", "conversation_id", "text", F.row_number().over(W.Window.partitionBy(F.lit(0)).orderBy("message_id")).alias("rank"))
+    stored, names = W.stored, []
+    monkeypatch.setattr(W, "stored", lambda df, name: names.append(name) or stored(df, name))
+    for pool, searches in ((4_096, 1), (64, 2)):
+        names.clear()
+        monkeypatch.setattr(W, "POOL", pool)
+        got = W.greedy_accept(ranked, messages, 2).orderBy("result_rank").collect()
+        assert [r["message_id"] for r in got] == ["m000", "m300"] and names == ["ranked"] * searches + ["accepted"]
